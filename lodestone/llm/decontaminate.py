@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, table, text_key, unpacked
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, table, text_key, unpacked, with_row
 from lodestone.llm.substring import UNION
-from lodestone.llm.words import NOT_ALNUM, Block, blocks, sliding_argmin, windows
+from lodestone.llm.words import LOWER, NOT_ALNUM, Block, blocks, sliding_argmin, windows
 
 WINDOW = 10
 
@@ -116,10 +117,11 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     cols = docs.columns
 
     def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text_key((t.as_py() or "").encode()) for t in batch.column(1)], pa.int64())], ["row", "text", "key"])
+        keys = [text_key((t.as_py() or "").encode().translate(LOWER.tobytes())) for t in batch.column(1)]  # as in candidates()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["row", "key"])
 
     rows = packed(docs)
-    rows = arrow_pass(rows, keyed, rows.schema.add("key", "long"))
+    rows = arrow_pass(rows, keyed, with_row(rows, ("key", T.LongType())))
     return unpacked(rows.join(bad, F.col("key") == F.col("text_key"), "left_anti"), cols)
 
 
