@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +87,21 @@ def windows_pass(docs: DataFrame, open_seeds: np.ndarray, window: int, seed: int
     return arrow_pass(docs, run, "doc_id bigint, seed bigint, left int, n int, extent bigint, hashes array<bigint>")
 
 
+def settled_pass(facts: DataFrame, settled: np.ndarray) -> DataFrame:
+    """The occurrences of facts whose class may be settled, so that the others aren't shuffled: doc_id, text_key, the class key, at."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = batch.column(2)
+        doc, each = pc.list_parent_indices(found), found.flatten()
+        own = pa.array(np.flatnonzero(bloom_has(settled, each.field("extent").to_numpy())))
+        if len(own):
+            doc, each = doc.take(own), each.take(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), *[each.field(c) for c in (*CLASS, "at")]], ["doc_id", "text_key", *CLASS, "at"])
+
+    known = facts.where("doc_id is not null").select("doc_id", "text_key", "found")
+    return arrow_pass(known, run, "doc_id bigint, text_key bigint, seed bigint, left int, n int, extent bigint, at int")
+
+
 def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> facts (doc_id, text_key, n_words, sha) of every row, and spans: (doc_id, text_key, spans), the maximal spans of words [start, end) that smaller doc_ids have too, for the texts with any."""
     scratch = Scratch(spark, "substring")
@@ -103,7 +119,7 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
     settled = classes.where("members > 1").select(*CLASS, "owner").join(taken, CLASS, "full")
     settled = scratch.write(settled, "settled")
     scratch.drop("wide")
-    hit = found.join(settled, CLASS).withColumn("whole", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))).where("whole or taken is not null")
+    hit = settled_pass(facts, bloom(settled, "extent")).join(settled, CLASS).withColumn("whole", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))).where("whole or taken is not null")
     runs = hit.select(
         "doc_id", "text_key",
         F.explode(F.when(F.col("whole"), F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + window).alias("end"))))
