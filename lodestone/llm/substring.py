@@ -181,6 +181,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = keyed_pass(own.where("doc_id is not null"), bloom(spans, "text_key")).join(spans, ["doc_id", "text_key"])
     cut = cut_pass(texts.select(F.struct("doc_id", "text_key").alias("row"), "text", "spans"))
     cut = cut.groupBy("row.doc_id", "row.text_key").agg(F.first("n_removed").alias("n_removed"), F.first(F.sha2("kept", 256)).alias("kept_sha"))
+    cut = Scratch(spark, "cut").write(cut, "cut")
     return facts.join(cut, ["doc_id", "text_key"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256")
     )
