@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, pick, table, with_row
+from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
 from lodestone.llm.words import BLOCK
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -132,4 +132,4 @@ def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(spread(table(spark, sf_dir, "documents")))

@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for a pass that costs far more than a shuffle of its rows: dealt out to all cores if its files make fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name first and else without regard to case; other columns may clash in any way."""
     cols = df.columns

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, table, text_key, unpacked, with_row
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, spread, table, text_key, unpacked, with_row
 from lodestone.llm.substring import UNION
 from lodestone.llm.words import LOWER, NOT_ALNUM, Block, blocks, sliding_argmin, windows
 
@@ -126,7 +126,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = overlaps(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = overlaps(spark, spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, packed, pick, table, unpacked, with_row
+from lodestone.llm.common import arrow_pass, packed, pick, spread, table, unpacked, with_row
 from lodestone.llm.words import Block, blocks
 
 LEAST_WORDS, REPEAT, MOST_REPEATED = 20, 8, 30
@@ -141,7 +141,7 @@ def good(docs: DataFrame) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(table(spark, sf_dir, "documents"))
+    found = judged(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

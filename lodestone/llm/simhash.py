@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, pick, table, with_row
+from lodestone.llm.common import Scratch, arrow_pass, pick, spread, table, with_row
 from lodestone.llm.components import connected_components
 from lodestone.llm.words import blocks
 
@@ -239,4 +239,4 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, spread(table(spark, sf_dir, "documents")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, pick, table, text_key, with_row
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, pick, spread, table, text_key, with_row
 from lodestone.llm.words import Block, blocks, mix, sliding_argmin, span_hash, windows
 
 WINDOW, SEED = 50, 8
@@ -188,7 +188,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(spark, table(spark, sf_dir, "documents"))
+    return without_repeats(spark, spread(table(spark, sf_dir, "documents")))
 
 
 OP4_SQL = r"""

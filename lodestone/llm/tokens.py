@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, pick, table, with_row
+from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
 
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 64
@@ -194,4 +194,4 @@ def revised(docs: DataFrame, name: str = RANKS) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revised(table(spark, sf_dir, "documents"))
+    return revised(spread(table(spark, sf_dir, "documents")))
