@@ -93,29 +93,28 @@ def upsert(catalog: Catalog, table: str, rows: list[dict]) -> tuple[int, int | N
         match = None
         if table in catalog.state.collections:
             catalog.own(table)
-            source = Source("t", catalog.frame(table).schema)
-            found = source.column((key,))
+            name, schema = catalog.table(table)
+            found = Source(table, schema).column((key,))
             if found is not None:
-                name, _ = catalog.table(table)
-                match = catalog.spark.sql(f"SELECT min(`{RID}`) AS id FROM {name} AS t WHERE {v.equal(found, v.literal(value), True)}").first()[0]
+                match = catalog.spark.sql(f"SELECT min(`{RID}`) AS id FROM {name} AS {v.quoted(table)} WHERE {v.equal(found, v.literal(value), True)}").first()[0]
         if match is None:
             _, last = insert_rows(catalog, table, [r])
             continue
         sets = frame_of(catalog, [r], match).withColumnRenamed(RID, "__id")
-        rewrite(catalog, table, f"t.`{RID}` = {match}L", [((k,), ("frame", sets, k)) for k in r], None)
+        rewrite(catalog, table, f"{v.quoted(table)}.`{RID}` = {match}L", [((k,), ("frame", sets, k)) for k in r], None)
         last = match
     return len(rows), last
 
 
 def rewrite(catalog: Catalog, table: str, hit: str, sets: list[tuple[tuple[str, ...], object]], compiler: Compiler | None) -> int:
-    """The collection with the fields of rows that `hit` (a condition without null, over t) set in turn, each on what the ones before left."""
+    """The collection with the fields of rows that `hit` (a condition without null) set in turn, each on what the ones before left."""
     catalog.own(table)
     name, _ = catalog.table(table)
-    spark = catalog.spark
-    count = spark.sql(f"SELECT count(1) FROM {name} AS t WHERE {hit}").first()[0]
+    spark, own = catalog.spark, v.quoted(table)
+    count = spark.sql(f"SELECT count(1) FROM {name} AS {own} WHERE {hit}").first()[0]
     if not count:
         return 0
-    df = spark.sql(f"SELECT *, {hit} AS `__hit` FROM {name} AS t")
+    df = spark.sql(f"SELECT *, {hit} AS `__hit` FROM {name} AS {own}")
     for path, new in sets:
         if isinstance(new, tuple):
             _, values, k = new
@@ -126,8 +125,8 @@ def rewrite(catalog: Catalog, table: str, hit: str, sets: list[tuple[tuple[str,
             value = v.Value(v.quoted(at), t)
         else:
             view = catalog.view(df)
-            found = compiler.value(new, Scope([Source("t", df.schema)]))
-            df = spark.sql(f"SELECT *, {found.sql} AS `__value` FROM {view} AS t")
+            found = compiler.value(new, Scope([Source(table, df.schema)]))
+            df = spark.sql(f"SELECT *, {found.sql} AS `__value` FROM {view} AS {own}")
             value = v.Value("`__value`", found.type)
         df = put(df, path, value).drop("__value", v.quoted(f"__v_{path[0]}").strip("`"))
     catalog.replace(table, df.drop("__hit"))
@@ -167,7 +166,7 @@ def update(catalog: Catalog, compiler: Compiler, u: n.Update) -> int:
         return 0
     catalog.own(u.table)
     _, schema = catalog.table(u.table)
-    scope = Scope([Source("t", schema)])
+    scope = Scope([Source(u.table, schema)])
     hit = compiler.predicate(u.where, scope, False) if u.where else "TRUE"
     sets = [(path, n.Literal(compiler.draw(e.name, e.draw)) if isinstance(e, n.Sequence) else e) for path, e in u.sets]
     return rewrite(catalog, u.table, hit, sets, compiler)
@@ -178,8 +177,8 @@ def delete(catalog: Catalog, compiler: Compiler, d: n.Delete) -> int:
         return 0
     catalog.own(d.table)
     name, schema = catalog.table(d.table)
-    hit = compiler.predicate(d.where, Scope([Source("t", schema)]), False) if d.where else "TRUE"
-    count = catalog.spark.sql(f"SELECT count(1) FROM {name} AS t WHERE {hit}").first()[0]
+    hit = compiler.predicate(d.where, Scope([Source(d.table, schema)]), False) if d.where else "TRUE"
+    count = catalog.spark.sql(f"SELECT count(1) FROM {name} AS {v.quoted(d.table)} WHERE {hit}").first()[0]
     if count:
-        catalog.replace(d.table, catalog.spark.sql(f"SELECT * FROM {name} AS t WHERE NOT {hit}"), count)
+        catalog.replace(d.table, catalog.spark.sql(f"SELECT * FROM {name} AS {v.quoted(d.table)} WHERE NOT {hit}"), count)
     return count

@@ -72,15 +72,14 @@ class Scope:
                     return self.grouped[key]
             tail = [val for k, val in self.grouped.items() if isinstance(k, n.Path) and k.parts[1:] == parts and any(s.alias == k.parts[0] for s in self.sources)]
             return tail[0] if tail else v.NULL
-        if len(parts) > 1:
-            for s in self.sources:
-                if s.alias == parts[0]:
-                    return s.column(parts[1:]) or v.NULL
+        aliased = [s for s in self.sources if len(parts) > 1 and s.alias == parts[0]]
+        for s in aliased:
+            if (found := s.column(parts[1:])) is not None:
+                return found
         for s in reversed(self.sources):  # the right-most table with such a column
-            found = s.column(parts)
-            if found is not None:
+            if (found := s.column(parts)) is not None:
                 return found
-        return None
+        return v.NULL if aliased else None
 
     def wild(self, parts: tuple[str, ...]) -> list[Value]:
         """The scalars that a path with `*` (children) or `**` (any depth) reaches."""

@@ -37,6 +37,16 @@ def test_kinds_that_conflict(spark):
     assert s.schema("t")[0]["types"] == ["float64", "string", "unknown"]
 
 
+def test_names_of_tables_and_documents(spark):
+    s = Session(spark)
+    s.execute("INSERT INTO t VALUES (t.a=1, u.a=2), (t.a=5, u.a=6)")
+    s.execute("UPDATE t SET t.a = t.a + u.a, b = t.u.a WHERE t.a = 1 AND t.u.a = 2")
+    assert rows(s, "SELECT t.a AS x, b FROM t") == [(3, 2), (5, None)]
+    assert rows(s, "SELECT x.t.a AS x FROM t x WHERE u.a > 2") == [(5,)]
+    s.execute("DELETE FROM t WHERE t.t.a = 3")
+    assert rows(s, "SELECT t.a AS x FROM t") == [(5,)]
+
+
 def test_upsert(spark):
     s = Session(spark)
     s.execute("INSERT INTO t VALUES (k='a', v=1, w=9), (k='a', v=2), (k='b', v=3)")
