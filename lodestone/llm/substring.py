@@ -70,7 +70,7 @@ def split(b: Block, d: int) -> list[bytes]:
 
 
 def windows_pass(docs: DataFrame, open_seeds: np.ndarray, window: int, seed: int) -> DataFrame:
-    """(doc_id, text) -> the class key, doc_id and window hashes of each occurrence whose seed may be open. The filter errs on one side only; more rows do no harm."""
+    """(doc_id, text) -> the class key, doc_id and hashes of the windows (with their place relative to the seed) of each occurrence whose seed may be open. The filter errs on one side only; more rows do no harm."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for b in blocks(batch.column(1)):
@@ -78,15 +78,31 @@ def windows_pass(docs: DataFrame, open_seeds: np.ndarray, window: int, seed: int
             own = np.flatnonzero(bloom_has(open_seeds, s))
             if not len(own):
                 continue
-            hashes = windows(words, window).view(np.int64)
             n_own, first = n[own], at[own] + b.word_at[doc[own]]
-            each = np.repeat(first, n_own) + np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+            k = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own)
+            offset = (k - np.repeat(left[own], n_own)).astype(np.uint64)
+            hashes = mix(windows(words, window)[np.repeat(first, n_own) + k] + offset * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             ids = batch.column(0).slice(b.lo, b.hi - b.lo).take(pa.array(doc[own]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s[own]), pa.array(left[own].astype(np.int32)), pa.array(n_own.astype(np.int32)), pa.array(extent[own]), list_array(n_own, pa.array(hashes[each]))], ["doc_id", *CLASS, "hashes"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(s[own]), pa.array(left[own].astype(np.int32)), pa.array(n_own.astype(np.int32)), pa.array(extent[own]), list_array(n_own, pa.array(hashes))], ["doc_id", *CLASS, "hashes"])
 
     return arrow_pass(docs, run, "doc_id bigint, seed bigint, left int, n int, extent bigint, hashes array<bigint>")
 
 
+def shared_pass(wide: DataFrame, shared: np.ndarray) -> DataFrame:
+    """The windows of the classes that other classes may have too: the class key, owner, k (its place in the class), hash."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(batch.num_columns - 1)
+        of, each = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        own = np.flatnonzero(bloom_has(shared, each.to_numpy()))
+        if len(own):
+            k = (own - np.searchsorted(of, of[own])).astype(np.int32)
+            rows = pa.array(of[own])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(CLASS) + 1)], pa.array(k), each.take(pa.array(own))], [*CLASS, "owner", "k", "hash"])
+
+    return arrow_pass(wide.select(*CLASS, "owner", "hashes"), run, "seed bigint, left int, n int, extent bigint, owner bigint, k int, hash bigint")
+
+
 def settled_pass(facts: DataFrame, settled: np.ndarray) -> DataFrame:
     """The occurrences of facts whose class may be settled, so that the others aren't shuffled: doc_id, text_key, the class key, at."""
 
@@ -112,9 +128,10 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
     # Classes of open seeds, with their windows: one row a class, as all members have the same.
     wide = windows_pass(docs.where("doc_id is not null"), bloom(several, "seed"), window, seed)
     wide = scratch.write(wide.groupBy(*CLASS).agg(F.min("doc_id").alias("owner"), F.first("hashes").alias("hashes")), "wide")
-    each = wide.select(*CLASS, "owner", F.posexplode("hashes").alias("k", "hash")).withColumn("offset", F.col("k") - F.col("left"))
-    least = each.groupBy("seed", "offset", "hash").agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    taken = each.join(least, ["seed", "offset", "hash"]).where("least < owner").groupBy(*CLASS).agg(F.collect_set("k").alias("taken"))
+    each = wide.select("seed", "owner", F.explode("hashes").alias("hash"))
+    least = each.groupBy("seed", "hash").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").drop("most")
+    least = scratch.write(least, "least")
+    taken = shared_pass(wide, bloom(least, "hash")).join(least, ["seed", "hash"]).where("least < owner").groupBy(*CLASS).agg(F.collect_set("k").alias("taken"))
     # What is settled: the owner of a class with members, and the windows its owner has from elsewhere.
     settled = classes.where("members > 1").select(*CLASS, "owner").join(taken, CLASS, "full")
     settled = scratch.write(settled, "settled")
