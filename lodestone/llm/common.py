@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest Bloom filter that is sent to executors, in bits (4 MB): a fixed bound, whatever the data.
-BLOOM_BITS = 1 << 25
+#: Least and largest Bloom filter that is sent to executors, in bits: 128 KB to 32 MB, whatever the data.
+BLOOM_LEAST, BLOOM_MOST = 1 << 20, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,11 +118,13 @@ def text_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of two bits a value over a bigint column of well mixed hashes, bits long whatever the data.
+def bloom(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A Bloom filter of two bits a value over a bigint column of well mixed hashes; df is a scratch table.
 
-    Bits are gathered in pages of 4 KB by a native, partially aggregated sum; the driver receives bits / 8 bytes at most.
+    8 to 16 bits a value within the bounds above. A filter that is too full lets more pass and still drops nothing: what passes
+    is joined exactly. Bits are gathered in pages of 4 KB by a native, partially aggregated sum; the driver receives bits / 8 bytes at most.
     """
+    bits = bits or min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (8 * df.count()).bit_length()))
     h = F.col(column)
     place = F.explode(F.array(h.bitwiseAND(bits - 1) + 1, F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1) + 1))
     pages = (

@@ -83,12 +83,9 @@ def compared(block: str, templates: tuple[tuple[str, str], ...]) -> tuple:
     # Templates that begin alike save alike: among those near the top the exact wording decides.
     close = [r for r in ranked if r[0] >= ranked[0][0] - 8]
 
-    def missing(words: list[str]) -> int:
-        return len(words) - sum(m.size for m in SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks())
-
-    scored = sorted((missing(w) * 100 // len(w), -saved, name, len(w), missing(w)) for saved, name, w in close)
-    part, saved, name, n, lacks = scored[0]
-    return name, alone, alone + saved, n, lacks, part <= MOST_MISSING, next((x[1] for x in ranked if x[1] != name), None)
+    lacking = [len(w) - sum(m.size for m in SequenceMatcher(None, own, w, autojunk=False).get_matching_blocks()) for _, _, w in close]
+    _, saved, name, n, lacks = min((lacks / len(w), -saved, name, len(w), lacks) for lacks, (saved, name, w) in zip(lacking, close, strict=True))
+    return name, alone, alone + saved, n, lacks, 100 * lacks <= MOST_MISSING * n, next((x[1] for x in ranked if x[1] != name), None)
 
 
 def notices(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
