@@ -94,6 +94,14 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Gives back the room of all tables but these, which results still read."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in fs.listStatus(root):
+            if found.getPath().getName() not in names:
+                fs.delete(found.getPath(), True)
+
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """fn over the Arrow batches of df."""

@@ -210,7 +210,9 @@ def classes(spark: SparkSession, ids: DataFrame) -> DataFrame:
     roots = connected_components(links(least.select("fp"), scratch), scratch)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return scratch.write(rooted.join(of_root, "root").select("fp", "component_id"), "classes")
+    out = scratch.write(rooted.join(of_root, "root").select("fp", "component_id"), "classes")
+    scratch.keep_only("classes")
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
     # What is settled: the owner of a class with members, and the windows its owner has from elsewhere.
     settled = classes.where("members > 1").select(*CLASS, "owner").join(taken, CLASS, "full")
     settled = scratch.write(settled, "settled")
-    scratch.drop("wide")
+    scratch.keep_only("facts", "settled")
     hit = settled_pass(facts, bloom(settled, "extent")).join(settled, CLASS).withColumn("whole", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False))).where("whole or taken is not null")
     runs = hit.select(
         "doc_id", "text_key",
@@ -143,7 +143,9 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
                   .otherwise(F.transform("taken", lambda k: F.struct((F.col("at") + k).alias("start"), (F.col("at") + k + window).alias("end"))))).alias("r"),
     )
     spans = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("r")).alias("runs"))
-    return facts.drop("found"), scratch.write(spans.select("doc_id", "text_key", F.expr(UNION).alias("spans")), "spans")
+    spans = scratch.write(spans.select("doc_id", "text_key", F.expr(UNION).alias("spans")), "spans")
+    scratch.keep_only("facts", "spans")
+    return facts.drop("found"), spans
 
 
 #: Sorted runs -> the maximal spans they cover.

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Set for the bytes that separate words: [\x20\x09-\x0D].
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 #: Set for the bytes outside [^\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing.
