@@ -49,7 +49,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "scan_project": ("SELECT n_nationkey, n_name AS name FROM nation", "select n_nationkey, n_name as name from nation"),
     "select_star": ("SELECT * FROM region", "select * from region"),
     "qualified_star": ("SELECT N.* FROM nation N WHERE N.n_regionkey = 1", "select * from nation where n_regionkey = 1"),
-    "computed_columns": ("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, 'x' AS tag, 1 + 3 AS four FROM lineitem WHERE l_orderkey < 200", "select l_orderkey, l_linenumber, l_extendedprice*(1-l_discount) as net, 'x' as tag, cast(1+3 as bigint) as four from lineitem where l_orderkey < 200"),
+    "computed_columns": ("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, 'x' AS tag, 1 + 3 AS four FROM lineitem", "select l_orderkey, l_linenumber, l_extendedprice*(1-l_discount) as net, 'x' as tag, cast(1+3 as bigint) as four from lineitem"),
     "default_names": ("SELECT p_partkey, p_size*2, UPPER(p_brand) FROM part", 'select p_partkey, cast(p_size*2 as bigint) as "p_size*2", upper(p_brand) as "UPPER" from part'),
     "filter_compare": ("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice >= 200000) AND o_orderpriority != '5-LOW'", "select o_orderkey, o_totalprice from orders where (o_orderstatus = 'F' or o_totalprice >= 200000) and o_orderpriority <> '5-LOW'"),
     "filter_not": ("SELECT event_id FROM events WHERE NOT (value > 100)", "select event_id from events where not coalesce(value > 100, false)"),
@@ -113,7 +113,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "fn_null": ("SELECT D.doc_id AS doc_id, COALESCE(L.quality, -1) AS q, IFNULL(L.toxic, 0) AS t, NULLIF(D.lang, 'en') AS nl FROM documents D LEFT JOIN labels L ON D.doc_id = L.doc_id", "select d.doc_id, cast(coalesce(l.quality, -1) as bigint) as q, cast(ifnull(l.toxic, 0) as bigint) as t, nullif(d.lang, 'en') as nl from documents d left join labels l on d.doc_id=l.doc_id"),
     "fn_typeof": ("SELECT p_partkey, TYPEOF(p_name) AS a, TYPEOF(p_size) AS b, TYPEOF(p_retailprice) AS c, TYPEOF(nosuch) AS d FROM part", "select p_partkey, 'text' as a, 'integer' as b, 'real' as c, 'null' as d from part"),
     "fn_where": ("SELECT p_partkey FROM part WHERE LENGTH(UPPER(p_name)) > 6", "select p_partkey from part where length(upper(p_name)) > 6"),
-    "cast_text": ("SELECT o_orderkey, CAST(o_totalprice AS INTEGER) AS i, CAST(o_custkey AS TEXT) AS t FROM orders WHERE o_orderkey < 500", "select o_orderkey, cast(trunc(o_totalprice) as bigint) as i, cast(o_custkey as varchar) as t from orders where o_orderkey < 500"),
+    "cast_text": ("SELECT o_orderkey, CAST(o_totalprice AS INTEGER) AS i, CAST(o_custkey AS TEXT) AS t FROM orders", "select o_orderkey, cast(trunc(o_totalprice) as bigint) as i, cast(o_custkey as varchar) as t from orders"),
     "nested_path": ("SELECT event_id, props.k AS k FROM events WHERE props.k > 50", "select event_id, cast(json_extract(props,'$.k') as bigint) as k from events where cast(json_extract(props,'$.k') as bigint) > 50"),
     "nested_group": ("SELECT props.k AS k, COUNT(*) AS n FROM events GROUP BY props.k", "select cast(json_extract(props,'$.k') as bigint) as k, count(*) as n from events group by 1"),
     "nested_star": ("SELECT event_id, props.* FROM events", "select event_id, cast(json_extract(props,'$.k') as bigint) as k from events"),
