@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re._constants as op
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -149,6 +150,38 @@ def re_least(rule: Rule) -> str:
     return rule.pattern[:-1] + f"{{{rule.least}}}" if rule.checked == 0 and rule.least and rule.pattern[0] == "[" and rule.pattern.endswith("]+") else rule.pattern
 
 
+#: Elements that are folded into one array at once: appending copies the array, so long ones are folded chunk by chunk and put together once.
+CHUNK = 32
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunked(items: Column) -> Column:
+    """The array cut into arrays of CHUNK elements; an empty one is a single empty chunk."""
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def scanned(items: Column, carry: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], empty: str) -> Column:
+    """Flat array of emit(a, item), an array, over the items in order; a is an int that starts at 0 and goes through carry(a, item)."""
+
+    def per_chunk(chunks: Column) -> Column:
+        fold = lambda a, c: F.aggregate(c, a, carry)
+        begins = F.aggregate(chunks, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(fold(F.element_at(a, -1), c))))
+        step = lambda a, x: F.struct(carry(a["at"], x).alias("at"), F.concat(a["out"], emit(a["at"], x)).alias("out"))
+        one = lambda c, begin: F.aggregate(c, F.struct(begin.alias("at"), F.expr(empty).alias("out")), step, lambda a: a["out"])
+        return let(begins, lambda b: F.transform(chunks, lambda c, i: one(c, F.get(b, i))))
+
+    return F.flatten(let(items, lambda held: let(chunked(held), per_chunk)))
+
+
+SPANS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
+GAPS = "cast(array() as array<struct<start:int,end:int>>)"
+
+
 def matches(rule: Rule, order: int) -> Column:
     r"""Spans (start, order, end) of the rule's leftmost matches that don't overlap, in code points.
 
@@ -158,16 +191,13 @@ def matches(rule: Rule, order: int) -> Column:
     whole = F.lit(rf"\G(?s:(.*?))({rule.pattern})")
     lengths = lambda g: F.transform(F.regexp_extract_all("text", whole, F.lit(g)), F.length)
     parts = F.arrays_zip(lengths(1).alias("gap"), lengths(2).alias("own"), lengths(2 + rule.checked).alias("checked"))
-    empty = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
-    return F.aggregate(
+    span = lambda a, p: F.struct((a + p["gap"]).alias("start"), F.lit(order).alias("kind"), (a + p["gap"] + p["own"]).alias("end"))
+    return scanned(
         parts.cast("array<struct<gap:int,own:int,checked:int>>"),
-        F.struct(F.lit(0).alias("at"), F.expr(empty).alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["own"]).alias("at"),
-            F.when(p["checked"] >= rule.least, F.concat(a["spans"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), F.lit(order).alias("kind"), (a["at"] + p["gap"] + p["own"]).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+        lambda a, p: a + p["gap"] + p["own"],
+        lambda a, p: F.when(p["checked"] >= rule.least, F.array(span(a, p))).otherwise(F.expr(SPANS)),
+        SPANS,
+    )
 
 
 def indexed(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -190,9 +220,8 @@ def with_spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(row, text) -> (row, text, found): the spans of all rules by start and the rules' order; null text counts as empty."""
     grams = vocabulary(rules)
     flags = indexed(rows, rules).select("row", "text", *[candidate(r, grams).alias(f"may{i}") for i, r in enumerate(rules)])
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    each = flags.select("row", "text", *[F.when(F.col(f"may{i}"), matches(r, i)).otherwise(none).alias(f"spans{i}") for i, r in enumerate(rules)])
-    return each.select("row", "text", F.array_sort(F.concat(*[f"spans{i}" for i in range(len(rules))])).alias("found"))
+    each = flags.select("row", "text", *[F.when(F.col(f"may{i}"), matches(r, i)).otherwise(F.expr(SPANS)).alias(f"spans{i}") for i, r in enumerate(rules)])
+    return each.select("row", "text", F.sort_array(F.concat(*[f"spans{i}" for i in range(len(rules))])).alias("found"))
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -224,15 +253,21 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
     rows = flat.select(F.struct(*flat.columns).alias("row"), F.col(f"c{at}").cast("string").alias("text"))
     found = with_spans(rows, rules)
     text = F.expr("row." + f"c{at}")
-    cut = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+    # What stands between the secrets, each piece before its mark; a chunk of pieces is cut out of the text before its pieces are.
+    gaps = scanned(
+        F.col("found"),
+        lambda a, s: F.greatest(a, s["end"]),
+        lambda a, s: F.when(s["start"] >= a, F.array(F.struct(a.alias("start"), s["start"].alias("end")))).otherwise(F.expr(GAPS)),
+        GAPS,
     )
+
+    def pieces(chunk: Column) -> Column:
+        lo, hi = F.element_at(chunk, 1)["start"], F.element_at(chunk, -1)["end"]
+        return let(F.substring(F.col("text"), lo + 1, hi - lo), lambda t: F.transform(chunk, lambda g: F.concat(F.substring(t, g["start"] - lo + 1, g["end"] - g["start"]), F.lit(mark))))
+
+    before = F.array_join(F.flatten(let(gaps, lambda g: F.transform(chunked(g), pieces))), "")
+    last = F.aggregate("found", F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    cut = F.concat(before, F.substring(F.col("text"), last + 1, F.length("text")))
     out = found.select("row", F.when(F.size("found") > 0, cut).otherwise(text).alias("clean"))
     return out.select(*[(F.col("clean") if i == at else F.when(F.col("clean").isNull(), F.col(f"row.c{i}")).otherwise(F.length("clean").cast("bigint")) if c == "n_chars" else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(cols)])
 
