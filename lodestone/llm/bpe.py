@@ -1,4 +1,8 @@
-"""Byte-level BPE: encoding with the tokenizers library over Arrow batches, and decoding by the byte table."""
+"""Byte-level BPE: encoding with the tokenizers library over Arrow batches, and decoding by the byte table.
+
+Texts are split by public_tokenizers.PATTERN, and the library encodes each pre-token that isn't remembered yet. Pre-tokens are encoded
+each for itself by definition, so the ids are those of the whole text.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
-from lodestone.llm.words import BLOCK
+from lodestone.llm.tokens import splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -40,10 +44,11 @@ def vocabulary_path(name: str) -> str:
 def codec(name: str) -> tuple:
     """The tokenizer of a vocabulary file, once a process, and the bytes of each id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(vocabulary_path(name))
     tokenizer.encode_special_tokens = True
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # what it gets is split already
     byte_of = {c: b for b, c in enumerate(byte_characters())}
     pieces: list[bytes] = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
@@ -51,22 +56,34 @@ def codec(name: str) -> tuple:
     return tokenizer, pieces
 
 
+class Ids(dict):
+    """The ids of pre-tokens as little-endian unsigned 32-bit integers, remembered up to `most` characters."""
+
+    def __init__(self, name: str, most: int = 1 << 21):
+        self.tokenizer, self.most, self.held = codec(name)[0], most, 0
+
+    def of(self, pieces: list[str]) -> list[int]:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        new = [p for p in dict.fromkeys(pieces) if p not in self]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[p] = np.array(e.ids, "<u4").tobytes()
+            self.held += len(p)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4").tolist()
+
+
+@cache
+def remembered(name: str) -> Ids:
+    return Ids(name)
+
+
 def encoded(texts: pa.Array, name: str = VOCABULARY) -> Iterator[tuple[str, list[int]]]:
-    """Each text with its ids, null as empty; about a block of text is encoded at once."""
-    tokenizer, _ = codec(name)
-    held: list[str] = []
-    size = 0
-
-    def done() -> Iterator[tuple[str, list[int]]]:
-        return zip(held, (e.ids for e in tokenizer.encode_batch_fast(held, add_special_tokens=False)), strict=True)
-
-    for t in texts.to_pylist():
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= BLOCK:
-            yield from done()
-            held, size = [], 0
-    yield from done()
+    """Each text with its ids, null as empty."""
+    known = remembered(name)
+    for text in texts:
+        text = text.as_py() or ""
+        yield text, known.of(splitter().findall(text))
 
 
 def decoded_bytes(ids: list[int], name: str = VOCABULARY) -> bytes:
