@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, spread, table, text_key, unpacked, with_row
-from lodestone.llm.substring import UNION
+from lodestone.llm.substring import union_pass
 from lodestone.llm.words import LOWER, NOT_ALNUM, Block, blocks, sliding_argmin, windows
 
 WINDOW = 10
@@ -92,7 +92,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int
     found = facts.select("doc_id", "text_key", F.explode("found").alias("f")).select("doc_id", "text_key", "f.*")
     hit = scratch.write(found.join(tests.select("words").distinct(), "words"), "hit")
     spans = hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("runs"))
-    spans = spans.select("doc_id", "text_key", F.expr(UNION).alias("hits"))
+    spans = union_pass(spans).withColumnRenamed("spans", "hits")
     # Items of the same words are one body until the end.
     bodies = hit.select("doc_id", "text_key", "words").distinct().join(tests.select("words", "body").distinct(), "words").select("doc_id", "text_key", "body").distinct()
     listed = bodies.join(tests.where("item_id is not null").select("body", "item_id").distinct(), "body")

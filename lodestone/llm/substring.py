@@ -143,16 +143,24 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: in
                   .otherwise(F.transform("taken", lambda k: F.struct((F.col("at") + k).alias("start"), (F.col("at") + k + window).alias("end"))))).alias("r"),
     )
     spans = runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("r")).alias("runs"))
-    spans = scratch.write(spans.select("doc_id", "text_key", F.expr(UNION).alias("spans")), "spans")
+    spans = scratch.write(union_pass(spans), "spans")
     scratch.keep_only("facts", "spans")
     return facts.drop("found"), spans
 
 
-#: Sorted runs -> the maximal spans they cover.
-UNION = """aggregate(runs, cast(array() as array<struct<start:int,end:int>>), (a, r) ->
-    if(size(a) > 0 and r.start <= element_at(a, -1).end,
-       concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, r.end) as end))),
-       concat(a, array(r))))"""
+def union_pass(runs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, runs) -> (doc_id, text_key, spans): the maximal spans that the sorted runs of a row cover, in time proportional to the runs."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        each, of = batch.column(2).flatten(), pc.list_parent_indices(batch.column(2)).to_numpy()
+        above = of.astype(np.int64) << 32  # lifts the runs of a row over those of the rows before
+        start, reach = each.field("start").to_numpy() + above, np.maximum.accumulate(each.field("end").to_numpy() + above)
+        first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])[: len(of)])
+        last = np.concatenate([first[1:], [len(of)]])[: len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array((x[i] - above[i]).astype(np.int32)) for x, i in ((start, first), (reach, last))], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(np.bincount(of[first], minlength=batch.num_rows), spans)], ["doc_id", "text_key", "spans"])
+
+    return arrow_pass(runs.select("doc_id", "text_key", "runs"), run, "doc_id bigint, text_key bigint, spans array<struct<start:int,end:int>>")
 
 
 def cut_pass(texts: DataFrame) -> DataFrame:

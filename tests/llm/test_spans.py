@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 import sys
 from collections import defaultdict
@@ -208,3 +209,22 @@ def test_trigram_queries_are_mandatory(spark):
 def test_secrets_stay_in_the_jvm(spark):
     plan = secrets.secrets(samples.frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_union_of_runs(spark):
+    rnd = random.Random(3)
+    rows = [(d, -d, sorted({(a, a + rnd.randint(1, 12)) for a in rnd.sample(range(300), rnd.randint(1, 60))})) for d in range(60)]
+    rows += [(None, 5, [(0, 3), (3, 4), (5, 9), (6, 7), (9, 10)]), (90, 0, [(11 * k, 11 * k + 10) for k in range(50_000)])]
+    want = []
+    for d, key, runs in rows:
+        spans = []
+        for a, b in runs:
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], b))
+            else:
+                spans.append((a, b))
+        want.append((d, key, spans))
+    df = spark.createDataFrame(rows, "doc_id long, text_key long, runs array<struct<start:int,end:int>>")
+    found = [(r.doc_id, r.text_key, [tuple(x) for x in r.spans]) for r in substring.union_pass(df).collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    assert substring.union_pass(df.limit(0)).collect() == []
