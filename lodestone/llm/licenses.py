@@ -2,16 +2,16 @@
 
 Lines with a cue of licensing are candidate blocks. A block is compressed with each template as a raw zstandard
 dictionary, and the templates are ranked by how much smaller it gets; the winner is confirmed, or not, by the words in
-which block and template really differ.
+which block and template really differ: words that tell licenses apart must all agree.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,16 @@ from lodestone.llm.common import arrow_pass, pick, table, with_row
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|warrant(?:y|ies)|permission is hereby|redistribut|spdx"
 #: Most words, in hundredths of the template's, that a confirmed block may lack or have changed.
 MOST_MISSING = 20
+#: Words that a confirmed block may add inside a template, whatever its length; of longer ones as many as it may lack.
+MOST_ADDED = 6
+#: A template of fewer words is a short notice: each of its words decides, but for those of NEUTRAL.
+SHORT = 20
+NEUTRAL = frozenset("a an the this these that it its is are be work works file files program library software code source project package module document documents text content "
+                    "licensed released distributed published provided available made under of by in into and or to with for terms term conditions condition following see license licenses rem dnl".split())
+#: Words that decide in templates of any length: names, clauses, negations. Words with a digit decide too.
+DECIDING = frozenset("mit bsd isc apache gpl lgpl agpl gnu lesser affero general public mozilla mpl cc creative commons attribution noncommercial commercial sharealike share alike noderivatives noderivs derivatives derivative "
+                     "nc nd sa cc0 unported international eclipse epl cddl artistic zlib boost unlicense wtfpl proprietary domain only later any without not no non never except prohibited forbidden free fee charge cost royalty "
+                     "academic educational research personal nonprofit internal evaluation waived granted permitted".split())
 #: Notices as their licenses publish them.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -55,7 +65,76 @@ def compressors(templates: tuple[tuple[str, str], ...]) -> tuple:
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+    return [w for _, _, w in placed_words(text)]
+
+
+def placed_words(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, word), in one spelling: 2.0 as 2, licence as license."""
+    found = re.finditer(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return [(m.start(), m.end(), re.sub(r"(?<=\d)(?:\.0)+$", "", m[0]).replace("licence", "license")) for m in found]
+
+
+def decides(word: str, short: bool) -> bool:
+    """Whether licenses differ if the word does."""
+    return any(c.isdigit() for c in word) or not DECIDING.isdisjoint(re.split("[.-]", word)) or (short and word not in NEUTRAL)
+
+
+#: Words of a text that are laid against a template at once.
+CHUNK = 4096
+
+
+def laid(own: list[str], words: list[str], best: bool = False) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """Places where the template's words stand in own: (first, end, lacking words, added words), the best first.
+
+    An alignment of the whole template with any part of own; a lacking or changed word costs 2, an added one 1. Only places
+    near enough to be confirmed; with best, the best place of all, however bad.
+    """
+    n, code = len(words), {}
+    w = np.array([code.setdefault(x, len(code)) for x in words])
+    coded = np.array([code.get(x, -1) for x in own], np.int64)
+    most = 2 * (MOST_MISSING * n // 100) + added_at_most(n)
+    overlap = 2 * n + added_at_most(n)
+    places = []
+    for at in range(0, max(1, len(own)), CHUNK):
+        lo = max(0, at - overlap)
+        part = coded[lo : at + CHUNK]
+        steps = np.arange(len(part) + 1)
+        cost = np.zeros((n + 1, len(part) + 1), np.int64)
+        for i in range(n):
+            row = cost[i] + 2
+            row[1:] = np.minimum(row[1:], cost[i][:-1] + 2 * (part != w[i]))
+            cost[i + 1] = np.minimum.accumulate(row - steps) + steps
+        ends = np.flatnonzero(cost[n] <= most)
+        ends = [len(part) - int(np.argmin(cost[n][::-1]))] if best else ends[ends + lo > at if at else ends >= 0].tolist()
+        for end in ends:
+            i, j, lacking, added = n, end, [], []
+            while i:
+                if j and cost[i, j] == cost[i - 1, j - 1] + 2 * (part[j - 1] != w[i - 1]):
+                    if part[j - 1] != w[i - 1]:
+                        lacking.append(words[i - 1])
+                        added.append(own[lo + j - 1])
+                    i, j = i - 1, j - 1
+                elif cost[i, j] == cost[i - 1, j] + 2:
+                    lacking.append(words[i - 1])
+                    i -= 1
+                else:
+                    added.append(own[lo + j - 1])
+                    j -= 1
+            places.append((int(cost[n, end]), lo + j, lo + end, lacking[::-1], added[::-1]))
+    places.sort(key=lambda x: (x[0], -x[2]))
+    yield from (p[1:] for p in (places[:1] if best else places))
+
+
+def added_at_most(n: int) -> int:
+    return max(MOST_ADDED, MOST_MISSING * n // 100)
+
+
+def confirms(own: list[str], first: int, words: list[str], lacking: list[str], added: list[str]) -> bool:
+    """Whether own says, from its word first on, what the template says: no word that decides differs, few others do, and no negation stands before."""
+    n, short = len(words), len(words) < SHORT
+    if 100 * len(lacking) > MOST_MISSING * n or len(added) > len(lacking) + added_at_most(n):
+        return False
+    return not any(decides(x, short) for x in [*lacking, *added]) and not (first and own[first - 1] in ("not", "never", "no", "non"))
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, int]]:
@@ -74,7 +153,7 @@ def blocks_of(text: str) -> Iterator[tuple[int, int]]:
 
 
 def compared(block: str, templates: tuple[tuple[str, str], ...]) -> tuple:
-    """Best template, the block's size alone and with it, the template's words, those missing from or changed in the block, and the runner-up."""
+    """Best template, the block's size alone and with it, the template's words, those missing from or changed in the block, whether it is confirmed, the runner-up, and the differing words."""
     plain, each = compressors(templates)
     data = block.lower().encode()
     alone = len(plain.compress(data))
@@ -82,17 +161,23 @@ def compared(block: str, templates: tuple[tuple[str, str], ...]) -> tuple:
     own = words_of(block)
     # Templates that begin alike save alike: among those near the top the exact wording decides.
     close = [r for r in ranked if r[0] >= ranked[0][0] - 8]
+    fits = []
+    for saved, name, words in close:
+        first, _, lacking, added = next(laid(own, words, best=True))
+        fits.append((not confirms(own, first, words, lacking, added), len(lacking) / len(words), -saved, name, len(words), lacking, added))
+    refuted, _, saved, name, n, lacking, added = min(fits)
+    return name, alone, alone + saved, n, len(lacking), not refuted, next((x[1] for x in ranked if x[1] != name), None), differing(lacking, added)
+
 
-    lacking = [len(w) - sum(m.size for m in SequenceMatcher(None, own, w, autojunk=False).get_matching_blocks()) for _, _, w in close]
-    _, saved, name, n, lacks = min((lacks / len(w), -saved, name, len(w), lacks) for lacks, (saved, name, w) in zip(lacking, close, strict=True))
-    return name, alone, alone + saved, n, lacks, 100 * lacks <= MOST_MISSING * n, next((x[1] for x in ranked if x[1] != name), None)
+def differing(lacking: list[str], added: list[str]) -> str:
+    return " ".join([*("-" + x for x in lacking), *("+" + x for x in added)])
 
 
 def notices(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, block_start, block_end, template, size_alone, size_with, n_words, n_missing, confirmed, runner_up.
+    """docs (doc_id, text, ...) -> doc_id, block_start, block_end, template, size_alone, size_with, n_words, n_missing, confirmed, runner_up, differing.
 
     A row for each candidate block (places in code points): the template that ranks first and whether its wording confirms
-    it. Texts without a cue, null and empty ones have no rows. Nothing is grouped, so repeated rows are scanned each
+    it; differing has the words in which they differ, -lacking and +added. Texts without a cue, null and empty ones have no rows. Nothing is grouped, so repeated rows are scanned each
     for itself. Other columns are ignored.
     """
     given = tuple((templates or TEMPLATES).items())
@@ -102,12 +187,12 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
         out = [(i, a, b, *compared(t[a:b], given)) for i, t in enumerate(batch.column(1).to_pylist()) for a, b in blocks_of(t)]
         if out:
             at, *rest = zip(*out, strict=True)
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]], ["row", *names])
 
-    names = ["block_start", "block_end", "template", "size_alone", "size_with", "n_words", "n_missing", "confirmed", "runner_up"]
+    names = ["block_start", "block_end", "template", "size_alone", "size_with", "n_words", "n_missing", "confirmed", "runner_up", "differing"]
     i, s = T.IntegerType(), T.StringType()
-    schema = with_row(own, *zip(names, (i, i, s, i, i, i, i, T.BooleanType(), s), strict=True))
+    schema = with_row(own, *zip(names, (i, i, s, i, i, i, i, T.BooleanType(), s, s), strict=True))
     return arrow_pass(own, run, schema).select("row.doc_id", *names)
 
 
