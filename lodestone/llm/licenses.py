@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-Lines with a cue of licensing are candidate blocks. A block is compressed with each template as a raw zstandard
-dictionary, and the templates are ranked by how much smaller it gets; the winner is confirmed, or not, by the words in
-which block and template really differ: words that tell licenses apart must all agree.
+Paragraphs with a cue of licensing are candidate blocks. Each template whose wording stands in a block is confirmed, with
+the span it has there: few words may differ, and of those that tell licenses apart none. What has a cue and is part of no
+such span is a row of its own, with the template that ranks first. Ranks are by compression with each template as a raw
+zstandard dictionary.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import arrow_pass, pick, table, with_row
 
-CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|warrant(?:y|ies)|permission is hereby|redistribut|spdx"
+#: What may stand between two words: a notice may be wrapped, and each line prefixed as a comment.
+GAP = r"[\s#*/;%-]+"
+CUE = rf"(?i)licen[cs]e|copyright|all{GAP}rights{GAP}reserved|public{GAP}domain|warrant(?:y|ies)|permission{GAP}is{GAP}hereby|redistribut|spdx"
 #: Most words, in hundredths of the template's, that a confirmed block may lack or have changed.
 MOST_MISSING = 20
 #: Words that a confirmed block may add inside a template, whatever its length; of longer ones as many as it may lack.
@@ -138,26 +141,71 @@ def confirms(own: list[str], first: int, words: list[str], lacking: list[str], a
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, int]]:
-    """Lines with a cue, those that follow one another as one block."""
+    """Paragraphs with a cue: lines up to a blank one. A line with only a comment's prefix isn't blank."""
     at, held = 0, None
-    for line in text.split("\n"):
-        cue = re.search(CUE, line)
-        if cue:
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
             held = (held[0] if held else at, at + len(line))
         elif held:
-            yield held
+            if re.search(CUE, text[held[0] : held[1]]):
+                yield held
             held = None
         at += len(line) + 1
-    if held:
-        yield held
 
 
-def compared(block: str, templates: tuple[tuple[str, str], ...]) -> tuple:
-    """Best template, the block's size alone and with it, the template's words, those missing from or changed in the block, whether it is confirmed, the runner-up, and the differing words."""
+def standing(block: str, templates: tuple[tuple[str, str], ...]) -> list[tuple]:
+    """(start, end, template, its words, lacking words, added words) of each confirmed wording in the block; one that is part of a longer one is left out."""
+    found = placed_words(block)
+    own = [w for _, _, w in found]
+    there, out = set(own), []
+    for name, words, _ in compressors(templates)[1]:
+        if any(decides(w, len(words) < SHORT) and w not in there for w in words):
+            continue
+        taken: list[tuple[int, int]] = []
+        for first, end, lacking, added in laid(own, words):
+            if all(end <= a or b <= first for a, b in taken) and confirms(own, first, words, lacking, added):
+                taken.append((first, end))
+                out.append((first, end, name, len(words), lacking, added))
+    out = [x for x in out if not any(y[0] <= x[0] and x[1] <= y[1] and (y[3], y[2]) > (x[3], x[2]) for y in out)]
+    return sorted((found[a][0], closed(block, found[b - 1][1]), *rest) for a, b, *rest in out)
+
+
+def closed(block: str, end: int) -> int:
+    """The end of a sentence whose last word ends at end."""
+    return end + len(re.match(r"[/.:;)\"']*", block[end:])[0])
+
+
+def rows_of(text: str, templates: tuple[tuple[str, str], ...]) -> Iterator[tuple]:
+    for a, b in blocks_of(text):
+        rest = 0
+        for start, end, name, n, lacking, added in standing(text[a:b], templates):
+            yield from unsettled(text, a + rest, a + start, templates)
+            alone, ranked = ranks(text[a + start : a + end], templates)
+            saved = next(x[0] for x in ranked if x[1] == name)
+            yield a + start, a + end, name, alone, alone - saved, n, len(lacking), True, next((x[1] for x in ranked if x[1] != name), None), differing(lacking, added)
+            rest = max(rest, end)
+        yield from unsettled(text, a + rest, b, templates)
+
+
+def unsettled(text: str, a: int, b: int, templates: tuple[tuple[str, str], ...]) -> Iterator[tuple]:
+    """What no confirmed wording covers, if it has a cue."""
+    part = text[a:b]
+    if re.search(CUE, part):
+        a, b = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
+        yield a, b, *compared(text[a:b], templates)
+
+
+def ranks(block: str, templates: tuple[tuple[str, str], ...]) -> tuple[int, list[tuple[int, str, list[str]]]]:
+    """The size of the block alone, and (bytes saved, template, its words), the most saved first."""
     plain, each = compressors(templates)
     data = block.lower().encode()
     alone = len(plain.compress(data))
-    ranked = sorted(((alone - len(c.compress(data)), name, words) for name, words, c in each), key=lambda x: (-x[0], x[1]))
+    return alone, sorted(((alone - len(c.compress(data)), name, words) for name, words, c in each), key=lambda x: (-x[0], x[1]))
+
+
+def compared(block: str, templates: tuple[tuple[str, str], ...]) -> tuple:
+    """Best template, the block's size alone and with it, the template's words, those missing from or changed in the block, whether it is confirmed, the runner-up, and the differing words."""
+    alone, ranked = ranks(block, templates)
     own = words_of(block)
     # Templates that begin alike save alike: among those near the top the exact wording decides.
     close = [r for r in ranked if r[0] >= ranked[0][0] - 8]
@@ -176,15 +224,15 @@ def differing(lacking: list[str], added: list[str]) -> str:
 def notices(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, block_start, block_end, template, size_alone, size_with, n_words, n_missing, confirmed, runner_up, differing.
 
-    A row for each candidate block (places in code points): the template that ranks first and whether its wording confirms
-    it; differing has the words in which they differ, -lacking and +added. Texts without a cue, null and empty ones have no rows. Nothing is grouped, so repeated rows are scanned each
+    A row for each confirmed wording, with its own span (in code points), and one for each part of a block with a cue that
+    none covers: the template that ranks first, not confirmed. differing has the words in which they differ, -lacking and +added. Texts without a cue, null and empty ones have no rows. Nothing is grouped, so repeated rows are scanned each
     for itself. Other columns are ignored.
     """
     given = tuple((templates or TEMPLATES).items())
     own = pick(docs, "doc_id", "text").select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(CUE))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = [(i, a, b, *compared(t[a:b], given)) for i, t in enumerate(batch.column(1).to_pylist()) for a, b in blocks_of(t)]
+        out = [(i, *row) for i, t in enumerate(batch.column(1).to_pylist()) for row in rows_of(t, given)]
         if out:
             at, *rest = zip(*out, strict=True)
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string())

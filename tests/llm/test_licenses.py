@@ -1,5 +1,7 @@
 """Words that decide between licenses."""
 
+import textwrap
+
 import pytest
 
 from lodestone.llm import licenses
@@ -46,3 +48,37 @@ def test_other_words_may_differ(text, template):
 def test_differing_words_are_reported(spark):
     docs = spark.createDataFrame([(1, "Released under the BSD License."), (2, T["MIT"])], "doc_id long, text string")
     assert {(r.doc_id, r.confirmed, r.differing) for r in licenses.notices(docs).collect()} == {(1, False, "-mit +bsd"), (2, True, "")}
+
+
+def wrapped(text, width=60, prefix=""):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("name", list(T))
+def test_wrapped_notices_are_whole(name, prefix):
+    notice = wrapped(T[name], 60, prefix)
+    text = f"prose\n\n{prefix}Copyright (c) 2020 Jo Doe\n{prefix.rstrip()}\n{notice}\n\nmore prose"
+    found = [r for r in licenses.rows_of(text, GIVEN) if r[7]]
+    assert [(r[2], r[6]) for r in found] == [(name, 0)]
+    assert text[found[0][0] : found[0][1]] == notice[len(prefix) :]
+
+
+@pytest.mark.parametrize("between", ["\n", " ", "\nsome words of prose\n"])
+def test_every_notice_of_a_block_has_its_span(between):
+    texts = [T["Apache-2.0"], T["MIT"], T["CC-BY-NC-4.0"], T["MIT"]]
+    text = between.join(texts)
+    found = list(licenses.rows_of(text, GIVEN))
+    assert [(r[2], r[7]) for r in found] == [("Apache-2.0", True), ("MIT", True), ("CC-BY-NC-4.0", True), ("MIT", True)]
+    assert [text[r[0] : r[1]] for r in found] == texts
+
+
+def test_what_is_not_confirmed_beside_a_notice_stays_a_row():
+    text = f"{T['MIT']}\nLicensed under the Apache License, Version 1.1."
+    assert [(r[2], r[7], text[r[0] : r[1]]) for r in licenses.rows_of(text, GIVEN)] == [("MIT", True, T["MIT"]), ("Apache-2.0", False, text.split("\n")[1])]
+
+
+def test_a_long_block_is_searched_whole():
+    prose = "word and more " * 5000
+    text = prose + T["BSD"] + " " + prose + T["MIT"] + " " + prose
+    assert [(r[2], text[r[0] : r[1]]) for r in licenses.rows_of(text, GIVEN) if r[7]] == [("BSD", T["BSD"]), ("MIT", T["MIT"])]
