@@ -1,0 +1,165 @@
+"""Near copies by exact Jaccard similarity of five-word shingles.
+
+Texts with the same set of shingles are one node. If two sets reach the similarity, their prefixes share a shingle: the
+first n - ceil(4 n / 5) + 1 in one order of all shingles, whatever that order is. Here shingles that are common in a sample
+come last, so that boilerplate makes few candidates. Counts of shingles in 256 bins bound what two sets can share; candidates
+within that bound are checked against the whole sets. First each node meets
+the least node under each of its shingles; then only nodes that are not yet connected meet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import Scratch, arrow_pass, list_array, pick
+from lodestone.llm.components import connected_components
+from lodestone.llm.words import blocks, mix, span_hash
+
+SHINGLE = 5
+#: Similarity of near copies, as a fraction.
+OVER, UNDER = 4, 5
+#: Texts of the sample, and how many of them have a common shingle; at most so many are sent out.
+SAMPLE, COMMON, COMMON_MOST = 5000, 5, 1 << 18
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as sorted hashes; a text of fewer words is one shingle, one without words has none."""
+    for b in blocks(texts, lower=True):
+        words = b.hashes()
+        n, first = b.counts, b.word_at[:-1]
+        spans = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
+        lo = np.repeat(first, spans) + (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
+        h = span_hash(words, lo, np.minimum(lo + SHINGLE, np.repeat(b.word_at[1:], spans)), "word").view(np.int64)
+        for part in np.split(h, np.cumsum(spans)[:-1]):
+            yield np.unique(part)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return list_array(np.array([len(x) for x in parts]), pa.array(np.concatenate(parts)))
+
+
+def with_shingles(docs: DataFrame) -> DataFrame:
+    """(text_key, text) -> (text_key, shingles)"""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(list(shingle_sets(part.column(1))))], ["text_key", "shingles"])
+
+    return arrow_pass(docs, run, "text_key bigint, shingles array<bigint>")
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample have, the most common last."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.col("text_key"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["text_key"])
+    counts = with_shingles(some.select("text_key", "text")).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    found = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    return np.array([r.h for r in found][::-1], np.int64)
+
+
+def with_prefix(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, text) -> (doc_id, text_key, node, n, prefix, bins)"""
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(s), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[at] == s, by_hash[at] + 1, 0)
+        return s[np.lexsort((mix(s.view(np.uint64)), rank))][: len(s) - -(-OVER * len(s) // UNDER) + 1]
+
+    def bins(s: np.ndarray) -> bytes:
+        return np.minimum(np.bincount((s.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, batch.num_rows, 200):
+            part = batch.slice(i, 200)
+            sets = list(shingle_sets(part.column(2)))
+            node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), node, pa.array([len(s) for s in sets], pa.int64()), lists([prefix(s) for s in sets]), pa.array([bins(s) for s in sets], pa.binary())], ["doc_id", "text_key", "node", "n", "prefix", "bins"])
+
+    return arrow_pass(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, n bigint, prefix array<bigint>, bins binary")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (u, v) those whose bins allow for the similarity. A full bin allows for anything."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (2, 3))
+        n = (batch.column(4).to_numpy(), batch.column(5).to_numpy())
+        same = np.minimum(a, b).sum(1, dtype=np.int64)
+        ok = (same * UNDER >= (n[0] + n[1] - same) * OVER) | (a == 255).any(1) | (b == 255).any(1)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["u", "v"])
+
+    of = lambda c, k: nodes.select(F.col("node").alias(c), F.col("bins").alias(f"bins{k}"), F.col("n").alias(f"n{k}"))
+    both = pairs.join(of("u", 0), "u").join(of("v", 1), "v").select("u", "v", "bins0", "bins1", "n0", "n1")
+    return arrow_pass(both, run, "u bigint, v bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of distinct pairs (u, v) of nodes those that reach the similarity; texts (text_key, text), nodes (node, text_key, n, bins)."""
+    pairs = scratch.write(possible(pairs, nodes), f"{name}pairs")
+    needed = nodes.select("node", "text_key").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
+    needed = scratch.write(needed, f"{name}needed")
+    some = texts.join(needed.select("text_key"), "text_key", "left_semi")
+    sets = scratch.write(with_shingles(some).dropDuplicates(["text_key"]).join(needed, "text_key").select("node", "shingles"), f"{name}sets")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").withColumn("same", F.size(F.array_intersect("a", "b")))
+    near = F.col("same") * UNDER >= (F.size("a") + F.size("b") - F.col("same")) * OVER
+    return scratch.write(both.where(near).select("u", "v"), f"{name}links")
+
+
+def components(texts: DataFrame, facts: DataFrame, scratch: Scratch, last: Scratch) -> DataFrame:
+    """(node, root) of the nodes that have a near copy."""
+    nodes = scratch.write(facts.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")), "nodes")
+    met = nodes.select(F.explode("prefix").alias("h"), F.struct("node", "n").alias("x")).groupBy("h").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    met = scratch.write(met.select("xs").distinct(), "met")
+    fits = f"least(x.n, y.n) * {UNDER} >= greatest(x.n, y.n) * {OVER}"
+    stars = met.select(F.col("xs")[0].alias("x"), F.explode(F.expr("slice(xs, 2, size(xs))")).alias("y"))
+    first = verified(stars.where(fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), texts, nodes, scratch, "star")
+    roots = scratch.write(connected_components(first, scratch), "roots")
+    # What a first link already connects needn't be compared again.
+    more = met.where(F.size("xs") > 2).withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("xs").alias("x"))
+    more = more.join(roots.withColumnRenamed("node", "node_"), F.col("x.node") == F.col("node_"), "left").select("g", "x", F.coalesce("root", "x.node").alias("root"))
+    more = scratch.write(more, "labelled")
+    apart = more.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
+    more = more.join(apart, "g")
+    pairs = more.alias("p").join(more.select("g", F.col("x").alias("y"), F.col("root").alias("other")).alias("q"), "g").where(F.col("x.node") < F.col("y.node")).where("root <> other").where(fits)
+    pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+    rest = verified(pairs, texts, nodes, scratch, "rest")
+    return connected_components(first.unionByName(rest), last)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, that with the least doc_id.
+
+    Texts without words are copies of one another. Rows without an id connect others and stay. Rows that repeat a doc_id are
+    told apart by their text; of several in one group, or of equal ones, one stays.
+    """
+    scratch, last = Scratch(spark, "similar"), Scratch(spark, "similar-components")
+    own = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    facts = scratch.write(with_prefix(own.select("doc_id", "text_key", "text"), common_shingles(own)), "facts")
+    roots = components(own.select("text_key", "text"), facts, scratch, last)
+    rows = facts.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    rows = scratch.write(rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times")), "rows")
+    least = rows.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    judged = rows.where("doc_id is not null").join(least, "root").withColumn("other", F.struct("doc_id", "text_key") != F.col("least")).where("other or times > 1")
+    judged = scratch.write(judged.select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key"), "other"), "gone")
+    scratch.keep_only("gone")
+    last.keep_only()
+    cols = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    place = lambda name: f"c{cols.index(name) if name in cols else [c.lower() for c in cols].index(name)}"
+    same = (flat[place("doc_id")] == F.col("gone")) & (F.xxhash64(flat[place("text")].cast("string")) == F.col("gone_key"))
+    out = flat.join(judged, same, "left_anti")
+    twice = judged.where("not other")
+    if not twice.isEmpty():
+        out = out.unionByName(flat.join(twice, same, "left_semi").dropDuplicates([place("doc_id"), place("text")]))
+    return out.toDF(*cols)

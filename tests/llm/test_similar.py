@@ -1,0 +1,72 @@
+"""Near copies by exact similarity, against every pair."""
+
+import random
+
+import pytest
+import samples
+
+from lodestone.llm import similar
+
+
+def shingles(text):
+    w = samples.split(samples.low(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain(rows):
+    """The texts kept, with their ids."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                root[find(i)] = find(j)
+    least, out = {}, []
+    for i, (d, _) in enumerate(rows):
+        if d is None:
+            out.append(d)
+        elif find(i) not in least or d < least[find(i)]:
+            least[find(i)] = d
+    return sorted([*out, *least.values()], key=repr)
+
+
+def edited(text, n, seed):
+    rnd, w = random.Random(seed), text.split()
+    for i in rnd.sample(range(len(w)), n):
+        w[i] = f"new{rnd.random()}"
+    return " ".join(w)
+
+
+def near():
+    """Texts around the similarity, chains of them, and boilerplate that all share."""
+    common, out = " ".join(samples.words(70, 40)), []
+    for k in range(12):
+        base = common + " " + " ".join(samples.words(400 + k, 160))
+        out += [base, *(edited(base, n, 10 * k + n) for n in (1, 2, 3, 4, 5, 6, 8))]
+        out.append(edited(out[-5], 3, k))
+    ids = random.Random(1).sample(range(1000, 5000), len(out))
+    return list(zip(ids, out, strict=True))
+
+
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_every_near_copy_is_found(spark, monkeypatch, common):
+    monkeypatch.setattr(similar, "COMMON", common)
+    rows = near() + samples.texts()
+    kept = similar.deduplicated(spark, samples.frame(spark, rows))
+    assert kept.columns == samples.frame(spark, rows).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain(rows)
+
+
+def test_near_copies_that_simhash_misses(spark):
+    rows = [(1, " ".join(samples.words(3, 200)))]
+    rows.append((2, edited(rows[0][1], 4, 2)))
+    assert [r.doc_id for r in similar.deduplicated(spark, samples.frame(spark, rows)).collect()] == [1]
+
+
+def test_no_rows(spark):
+    assert similar.deduplicated(spark, samples.frame(spark, [])).collect() == []
