@@ -70,3 +70,10 @@ def test_near_copies_that_simhash_misses(spark):
 
 def test_no_rows(spark):
     assert similar.deduplicated(spark, samples.frame(spark, [])).collect() == []
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b, c = (" ".join(samples.words(k, 60)) for k in (21, 22, 23))
+    rows = [(1, a), (3, f" {a}"), (3, b), (2, c), (2, c), (2, f" {c}")]
+    kept = similar.deduplicated(spark, samples.frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text.strip()) for r in kept) == [(1, a), (2, c), (3, b)]
