@@ -8,8 +8,8 @@ from lodestone.plans import values as v
 from lodestone.plans.values import Value
 
 
-def aggregate(name: str, arg: Value | None, distinct: bool) -> Value:
-    """COUNT skips nulls; SUM and AVG take what isn't a number as nothing and are 0 over no rows; AVG divides by all rows of the group, nulls too, unless DISTINCT."""
+def aggregate(name: str, arg: Value | None, distinct: bool, order: str | None = None) -> Value:
+    """order: what rows were inserted by, if known. COUNT skips nulls; SUM and AVG take what isn't a number as nothing and are 0 over no rows; AVG divides by all rows of the group, nulls too, unless DISTINCT."""
     once = "DISTINCT " if distinct else ""
     if name == "COUNT":
         if arg is None:
@@ -34,5 +34,10 @@ def aggregate(name: str, arg: Value | None, distinct: bool) -> Value:
     if arg.kind in ("null", "doc", "list"):
         return v.NULL
     if arg.kind == "variant":
-        return Value(f"{name.lower()}({v.as_number(arg)})", T.DoubleType())
+        # Unlike kinds don't compare: the kind that came first (else numbers, if there are any) is the one whose least or greatest value counts.
+        by = lambda x: f"{name.lower()}_by({arg.sql}, {x})"
+        number, said = by(v.as_number(arg)), by(v.variant_text(arg))
+        kind = f"CASE WHEN {v.as_number(arg)} IS NOT NULL THEN 1 WHEN schema_of_variant({arg.sql}) = 'STRING' THEN 2 END"
+        first = f"min(struct({order}, {kind})) FILTER (WHERE {kind} IS NOT NULL).col2" if order else f"min({kind})"
+        return Value(f"if({first} = 1, {number}, {said})", T.VariantType())
     return Value(f"{name.lower()}({arg.sql})", arg.type)

@@ -25,15 +25,22 @@ class Tables(Protocol):
 
 @dataclass
 class Source:
+    """alias: its name in the dialect; own: its name in Spark SQL, which no other source of the statement has, so that a subquery over the same collection reads its own rows."""
+
     alias: str
     schema: T.StructType
+    own: str = ""
+
+    @property
+    def name(self) -> str:
+        return quoted(self.own or self.alias)
 
     def column(self, parts: tuple[str, ...]) -> Value | None:
         """None if the first part isn't a column; null if a later one isn't a field."""
         f = next((f for f in self.schema if f.name == parts[0]), None)
         if f is None:
             return None
-        sql, type_ = f"{quoted(self.alias)}.{quoted(f.name)}", f.dataType
+        sql, type_ = f"{self.name}.{quoted(f.name)}", f.dataType
         for k, p in enumerate(parts[1:], 1):
             if isinstance(type_, T.VariantType):
                 return Value(f"try_variant_get({sql}, {v.text('$.' + '.'.join(parts[k:]))}, 'variant')", T.VariantType())
@@ -110,7 +117,7 @@ class Scope:
         for s in sources or reversed(self.sources):
             visible = T.StructType([f for f in s.schema if f.name != HIDDEN])
             if parts[0] in ("*", "**") or any(f.name == parts[0] for f in visible):
-                walk(quoted(s.alias), visible, parts)
+                walk(s.name, visible, parts)
                 break
         return list(dict.fromkeys(out))
 
@@ -264,14 +271,20 @@ class Compiler:
             sources, scope = self.sources(first, s)
             y = self.value(first.items[0].expr, scope)
             where = f" AND {self.predicate(first.where, scope, True)}" if first.where else ""
-            both = None if "null" in (x.kind, y.kind) else v.aligned(x, y)
-            same = f"{both[0]} <=> {both[1]}" if both else v.equal(x, y, False)
-            return f"EXISTS (SELECT 1 FROM {sources} WHERE {same}{where})"
+            return f"EXISTS (SELECT 1 FROM {sources} WHERE {self.same(x, y)}{where})"
         sql, outputs = self.select(first, s)
-        y = Value(f"`__in`.{quoted(outputs[0][0])}", outputs[0][1])
-        both = None if "null" in (x.kind, y.kind) else v.aligned(x, y)
-        same = f"{both[0]} <=> {both[1]}" if both else v.equal(x, y, False)
-        return f"EXISTS (SELECT 1 FROM ({sql}) AS `__in` WHERE {same})"
+        own = self.fresh("in")
+        return f"EXISTS (SELECT 1 FROM ({sql}) AS {own} WHERE {self.same(x, Value(f'{own}.{quoted(outputs[0][0])}', outputs[0][1]))})"
+
+    @staticmethod
+    def same(x: Value, y: Value) -> str:
+        both = None if "null" in (x.kind, y.kind) else v.matched(x, y)
+        return f"{both[0]} <=> {both[1]}" if both else v.equal(x, y, False)
+
+    def fresh(self, stem: str) -> str:
+        """A name that nothing else in the statement has."""
+        self.names += 1
+        return quoted(f"__{stem}{self.names}")
 
     def scalar(self, select: n.Select, s: Scope) -> Value:
         """The first field of the first row, or null."""
@@ -295,19 +308,19 @@ class Compiler:
             if any(x.alias == alias for x in scope.sources):
                 raise DialectError(f"{alias} is named twice; give it another alias")
             name, schema = self.tables.source(table)
-            scope.sources.append(Source(alias, schema))
+            source = Source(alias, schema, self.fresh("s").strip("`"))
+            scope.sources.append(source)
             spread = next((a for h, a in q.hints if h == "PARALLEL"), None) if "PARALLEL" in hints and k == 0 else None
             if "PARALLEL" in hints and k == 0:
                 name = f"(SELECT /*+ REPARTITION({int(spread or 4)}) */ * FROM {name})"
-            said += f"{name} AS {quoted(alias)}" if not k else f" {kind} JOIN {name} AS {quoted(alias)} ON {self.predicate(on, scope, True, joining=True)}"
+            said += f"{name} AS {source.name}" if not k else f" {kind} JOIN {name} AS {source.name} ON {self.predicate(on, scope, True, joining=True)}"
         return said, scope
 
-    def hint(self, q: n.Select) -> str:
-        names = {h for h, _ in q.hints}
-        if not q.joins or not names & {"HASH_JOIN", "NESTED_LOOP"}:
+    def hint(self, q: n.Select, scope: Scope) -> str:
+        """NESTED_LOOP is a label of EXPLAIN: a join of every pair is planned only where the condition leaves no other way."""
+        if not q.joins or "HASH_JOIN" not in {h for h, _ in q.hints}:
             return ""
-        way = "SHUFFLE_REPLICATE_NL" if "NESTED_LOOP" in names else "SHUFFLE_HASH"
-        return f"/*+ {way}({', '.join(quoted(j.alias) for j in q.joins)}) */ "
+        return f"/*+ SHUFFLE_HASH({', '.join(x.name for x in scope.sources[1:])}) */ "
 
     def select(self, q: n.Select, outer: Scope | None = None, bound: bool = False) -> tuple[str, list[tuple[str, T.DataType]]]:
         """The text and its columns. bound: at most one row is wanted."""
@@ -325,25 +338,15 @@ class Compiler:
             outputs[name] = x
         if not outputs:
             outputs["expr"] = v.NULL
-        hint = "" if grouped else self.hint(q)
+        hint = "" if grouped else self.hint(q, scope)
         columns = ", ".join(f"{x.sql} AS {quoted(name)}" for name, x in outputs.items())
-        sql = f"SELECT {hint}{'DISTINCT ' if q.distinct else ''}{columns} FROM {said}{where}"
-        if q.order:
-            keys = []
-            for e, descending in q.order:
-                if isinstance(e, n.Path) and len(e.parts) >= 1 and ".".join(e.parts) in outputs:
-                    key = quoted(".".join(e.parts))
-                elif isinstance(e, n.Literal):
-                    continue
-                else:
-                    x = self.value(e, scope)
-                    if x.kind == "null":
-                        continue
-                    shown = next((name for name, o in outputs.items() if o.sql == x.sql), None)
-                    key = quoted(shown) if q.distinct and shown else v.as_string(x) if x.kind in ("variant", "doc") else x.sql
-                keys.append(f"{key}{' DESC' if descending else ''}")
-            if keys:
-                sql += f" ORDER BY {', '.join(keys)}"
+        keys, hidden = self.order(q, scope, outputs)
+        if q.distinct and (hidden or any(not groupable(x.type) for x in outputs.values())):
+            sql = self.distinct(f"SELECT {hint}{', '.join([columns, *(f'{x} AS {name}' for name, x, _ in hidden)])} FROM {said}{where}", outputs, hidden)
+        else:
+            sql = f"SELECT {hint}{'DISTINCT ' if q.distinct else ''}{columns} FROM {said}{where}"
+        if keys:
+            sql += f" ORDER BY {', '.join(keys)}"
         one = bound and not (grouped and not q.group)
         if q.limit is not None or one:
             sql += f" LIMIT {min(q.limit, 1) if one and q.limit is not None else 1 if one else max(q.limit, 0)}"
@@ -351,17 +354,55 @@ class Compiler:
             sql += f" OFFSET {q.offset}"
         return sql, [(name, x.type) for name, x in outputs.items()]
 
+    def order(self, q: n.Select, scope: Scope, outputs: dict[str, Value]) -> tuple[list[str], list[tuple[str, str, bool]]]:
+        """Sort keys, and those that a DISTINCT query sorts by without showing them: (name, what it is, descending)."""
+        keys: list[str] = []
+        hidden: list[tuple[str, str, bool]] = []
+        for e, descending in q.order:
+            if isinstance(e, n.Literal):
+                continue
+            if isinstance(e, n.Path) and ".".join(e.parts) in outputs:
+                name = ".".join(e.parts)
+                x, shown = Value(quoted(name), outputs[name].type), True
+            else:
+                x = self.value(e, scope)
+                name = next((k for k, o in outputs.items() if o.sql == x.sql), None) if q.distinct else None
+                x, shown = (Value(quoted(name), x.type), True) if name else (x, False)
+            if x.kind == "null":
+                continue
+            for sql in v.rank(x) if x.kind == "variant" else [v.as_string(x)] if x.kind in ("doc", "list") else [x.sql]:
+                if q.distinct and not shown:
+                    hidden.append((self.fresh("o"), sql, descending))
+                    sql = hidden[-1][0]
+                keys.append(f"{sql}{' DESC' if descending else ''}")
+        return keys, hidden
+
+    def distinct(self, sql: str, outputs: dict[str, Value], hidden: list[tuple[str, str, bool]]) -> str:
+        """The rows of sql that differ in kind or content, with one original of each; hidden sort keys are those of the row that sorts first."""
+        if len({d for _, _, d in hidden}) > 1:
+            raise DialectError("ORDER BY fields that DISTINCT doesn't select must all ascend or all descend")
+        shown = {name: Value(quoted(name), x.type) for name, x in outputs.items()}
+        keys = [v.identity(x) for x in shown.values()]
+        first = f"{'max' if any(d for _, _, d in hidden) else 'min'}(struct({', '.join(name for name, _, _ in hidden)}))" if hidden else ""
+        own = [f"any_value({x.sql}) AS {x.sql}" for x in shown.values()]
+        own += [f"{first}.{name} AS {name}" for name, _, _ in hidden]
+        inner = f"SELECT {', '.join(own)} FROM ({sql}) GROUP BY {', '.join(keys)}"
+        return f"SELECT {', '.join(x.sql for x in shown.values())} FROM ({inner})"
+
     def group(self, q: n.Select, items: list[n.Item], said: str, scope: Scope) -> tuple[str, Scope]:
         """The grouped rows as a derived table: keys and every aggregate that a later clause names."""
         columns, keys, known = [], [], {}
+        own = self.fresh("g")
         for k, path in enumerate(q.group):
             x = scope.path(path.parts)
-            if x.kind in ("variant", "doc"):
-                x = Value(v.as_string(x), T.StringType())
-            columns.append(f"{x.sql} AS `k{k}`")
-            if x.kind != "null":
-                keys.append(x.sql)
-            known[path] = Value(f"`__g`.`k{k}`", x.type)
+            if x.kind == "variant":  # grouped by the canonical string; a number stands for itself and the texts that say it
+                columns.append(f"min_by({x.sql}, struct({', '.join(v.rank(x))})) AS `k{k}`")
+                keys.append(f"if({v.is_null(x)}, NULL, {v.as_string(x)})")
+            else:
+                x = Value(v.as_string(x), T.StringType()) if x.kind in ("doc", "list") else x
+                columns.append(f"{x.sql} AS `k{k}`")
+                keys += [x.sql] if x.kind != "null" else []
+            known[path] = Value(f"{own}.`k{k}`", x.type)
         wanted: dict[n.Aggregate, None] = {}
 
         def gather(e: n.Expr) -> None:
@@ -373,20 +414,22 @@ class Compiler:
 
         for e in [i.expr for i in items] + ([q.having] if q.having else []) + [e for e, _ in q.order]:
             gather(e)
+        one = scope.sources[0] if len(scope.sources) == 1 else None
+        first = f"{one.name}.{quoted(HIDDEN)}" if one and any(f.name == HIDDEN for f in one.schema) else None
         for k, a in enumerate(wanted):
-            x = aggregate(a.name, self.value(a.arg, scope) if a.arg else None, a.distinct)
+            x = aggregate(a.name, self.value(a.arg, scope) if a.arg else None, a.distinct, first)
             columns.append(f"{x.sql} AS `a{k}`")
-            known[a] = Value(f"`__g`.`a{k}`", x.type)
-        inner = f"SELECT {self.hint(q)}{', '.join(columns) or '1 AS `k0`'} FROM {said}"
+            known[a] = Value(f"{own}.`a{k}`", x.type)
+        inner = f"SELECT {self.hint(q, scope)}{', '.join(columns) or '1 AS `k0`'} FROM {said}"
         if q.group:
             inner += f" GROUP BY {', '.join(keys) or '()'}"
             if not keys:
                 inner += " HAVING count(1) > 0"
-        out = Scope([Source(s.alias, s.schema) for s in scope.sources], scope.outer, known, True)
+        out = Scope([Source(s.alias, s.schema, s.own) for s in scope.sources], scope.outer, known, True)
         for i in items:
             if i.alias and i.expr in known:
                 known[n.Path((i.alias,))] = known[i.expr]
-        return f"({inner}) AS `__g`", out
+        return f"({inner}) AS {own}", out
 
     def outputs(self, items: list[n.Item], s: Scope, q: n.Select) -> list[tuple[str, Value]]:
         """Output columns in order; a later one of the same name takes the earlier one's place, but unnamed aggregates are told apart."""
@@ -394,7 +437,7 @@ class Compiler:
         counts: dict[str, int] = {}
 
         def fields(source: Source) -> list[tuple[str, Value]]:
-            return [(f.name, Value(f"{quoted(source.alias)}.{quoted(f.name)}", f.dataType)) for f in source.schema if f.name != HIDDEN]
+            return [(f.name, Value(f"{source.name}.{quoted(f.name)}", f.dataType)) for f in source.schema if f.name != HIDDEN]
 
         for i in items:
             e = i.expr
@@ -441,3 +484,10 @@ def default_name(e: n.Expr, s: Scope | None = None) -> str:
         case n.Unary("-", a):
             return f"-{default_name(a, s)}"
     return "expr"
+
+
+def groupable(t: T.DataType) -> bool:
+    """Whether Spark can group by the type."""
+    if isinstance(t, T.StructType):
+        return all(groupable(f.dataType) for f in t)
+    return groupable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, T.VariantType | T.MapType)

@@ -113,19 +113,44 @@ def is_null(v: Value) -> str:
     return f"({v.sql} IS NULL OR is_variant_null({v.sql}))" if v.kind == "variant" else f"({v.sql} IS NULL)"
 
 
+def variant_text(v: Value) -> str:
+    """The text that a variant holds, null if it holds something else."""
+    return f"if(schema_of_variant({v.sql}) = 'STRING', variant_get({v.sql}, '$', 'string'), NULL)"
+
+
+def key(v: Value, other: str = "") -> str:
+    """What equal values share: numbers and booleans by number, texts by text, null for null. Documents and arrays equal nothing: `other` is what stands for them, a text of its own on each side."""
+    if v.kind == "str":
+        return f"concat('t', {v.sql})"
+    if v.number:
+        return f"concat('n', CAST({as_double(v)} + 0D AS STRING))"
+    return f"CASE WHEN {is_null(v)} THEN NULL WHEN schema_of_variant({v.sql}) = 'STRING' THEN {key(Value(variant_text(v), T.StringType()))} ELSE coalesce(concat('n', CAST({as_number(v)} + 0D AS STRING)), {text(other)}) END"
+
+
+def identity(v: Value) -> str:
+    """Kind and content of any value, as text: what DISTINCT tells rows apart by."""
+    if v.kind != "variant":
+        return as_string(v) if v.kind in ("doc", "list", "null") else v.sql
+    return f"coalesce({key(v, 'o')}, '') || if({is_null(v)}, '', if(schema_of_variant({v.sql}) = 'BOOLEAN', 'b', if({key(v, 'o')} = 'o', to_json({v.sql}), '')))"
+
+
+def rank(v: Value) -> list[str]:
+    """Sort keys of a variant: nulls first, then numbers, then texts, then the rest by their JSON."""
+    place = f"CASE WHEN {is_null(v)} THEN 0 WHEN {as_number(v)} IS NOT NULL THEN 1 WHEN schema_of_variant({v.sql}) = 'STRING' THEN 2 ELSE 3 END"
+    return [place, as_number(v), f"if({as_number(v)} IS NULL, coalesce({variant_text(v)}, to_json({v.sql})), NULL)"]
+
+
 def aligned(a: Value, b: Value) -> tuple[str, str] | None:
-    """Both sides in a type that compares; None if values of these kinds never compare."""
+    """Both sides in a type that can be ordered; None if values of these kinds never compare."""
     ka, kb = a.kind, b.kind
     if a.number and b.number:
         return (a.sql, b.sql) if ka == kb == "bool" else (as_number(a), as_number(b))
-    if ka == "variant" and (b.number or kb == "variant"):
-        return as_number(a), as_number(b)
-    if kb == "variant" and a.number:
-        return as_number(a), as_number(b)
-    if ka == "variant" and kb == "str":
-        return f"if(schema_of_variant({a.sql}) = 'STRING', variant_get({a.sql}, '$', 'string'), NULL)", b.sql
-    if kb == "variant" and ka == "str":
-        return aligned(b, a)[::-1]
+    if "variant" in (ka, kb):
+        other = kb if ka == "variant" else ka
+        if a.number or b.number:
+            return as_number(a), as_number(b)
+        said = lambda v: variant_text(v) if v.kind == "variant" else v.sql
+        return (said(a), said(b)) if other == "str" else None
     if ka == kb and ka in ("str", "time", "other"):
         return a.sql, b.sql
     if {ka, kb} == {"time", "str"}:  # a date written as text
@@ -134,11 +159,18 @@ def aligned(a: Value, b: Value) -> tuple[str, str] | None:
     return None
 
 
+def matched(a: Value, b: Value) -> tuple[str, str] | None:
+    """Both sides so that they are equal, null-safely, just when the values are; None if they never are but for two nulls."""
+    if "variant" in (a.kind, b.kind) and not (a.literal or b.literal):
+        return (key(a, "a"), key(b, "b")) if all(v.number or v.kind in ("variant", "str") for v in (a, b)) else None
+    return aligned(a, b)
+
+
 def equal(a: Value, b: Value, positive: bool, joining: bool = False) -> str:
     """joining: keys that are null meet nothing."""
     if a.kind == "null" or b.kind == "null":
         return "FALSE" if joining else is_null(b if a.kind == "null" else a)
-    both = aligned(a, b)
+    both = matched(a, b)
     if both is None:
         return "FALSE" if joining or a.literal or b.literal or "doc" in (a.kind, b.kind) else f"({is_null(a)} AND {is_null(b)})"
     x, y = both
@@ -148,6 +180,8 @@ def equal(a: Value, b: Value, positive: bool, joining: bool = False) -> str:
 
 
 def ordered(op: str, a: Value, b: Value, positive: bool) -> str:
+    if a.kind == b.kind == "variant":
+        return sure(f"coalesce({as_number(a)} {op} {as_number(b)}, {variant_text(a)} {op} {variant_text(b)})", positive)
     both = None if "null" in (a.kind, b.kind) else aligned(a, b)
     return "FALSE" if both is None else sure(f"{both[0]} {op} {both[1]}", positive)
 

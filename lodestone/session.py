@@ -15,7 +15,7 @@ from lodestone.plans import nodes as n
 from lodestone.plans import values as v
 from lodestone.plans.explain import described
 from lodestone.plans.parser import DialectError, parse
-from lodestone.plans.select import Compiler
+from lodestone.plans.select import Compiler, groupable
 from lodestone.sources.catalog import RID, Catalog, Collection, Counter
 
 EMPTY = f"(SELECT CAST(NULL AS BIGINT) AS `{RID}` WHERE FALSE)"
@@ -314,5 +314,14 @@ def united(left: DataFrame, right: DataFrame, every: bool) -> DataFrame:
     mixed = [f.name for f in left.schema if f.name in other and v.common([f.dataType, other[f.name]]) is None]
     if mixed:
         left, right = (df.select(*[F.expr(v.as_string(v.Value(v.quoted(f.name), f.dataType)) if f.name in mixed else v.quoted(f.name)).alias(f.name) for f in df.schema]) for df in (left, right))
-    out = left.unionByName(right, allowMissingColumns=True)
-    return out if every else out.distinct()
+    if every:
+        return left.unionByName(right, allowMissingColumns=True)
+    if all(groupable(f.dataType) for df in (left, right) for f in df.schema):
+        return left.unionByName(right, allowMissingColumns=True).distinct()
+    # Rows of the same canonical strings are one, and the left side's stands.
+    both = left.withColumn("__side", F.lit(0)).unionByName(right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    shown = [v.Value(v.quoted(f.name), f.dataType) for f in both.schema if f.name != "__side"]
+    same = [F.expr(f"if({v.is_null(x)}, NULL, {v.as_string(x)})").alias(f"k{i}") for i, x in enumerate(shown)]
+    ranks = [r for x in shown for r in (v.rank(x) if x.kind == "variant" else [])]
+    row = F.expr(f"min_by(struct({', '.join(x.sql for x in shown)}), struct({', '.join(['__side', *ranks])}))").alias("row")
+    return both.groupBy(*same).agg(row).select("row.*")

@@ -59,11 +59,65 @@ def test_mixed_kinds_are_variants(s):
     assert s.execute("SELECT COUNT(*) AS c FROM m WHERE v IS NULL").rows()[0].c == 2
     kinds = sorted(r.TYPEOF for r in s.execute("SELECT TYPEOF(v) FROM m").rows())
     assert kinds == ["boolean", "integer", "null", "null", "real", "text"]
-    groups = {r.v: r.n for r in s.execute("SELECT v, COUNT(*) AS n FROM m GROUP BY v").rows()}
+    groups = {str(r.v): r.n for r in s.execute("SELECT v, COUNT(*) AS n FROM m GROUP BY v").rows()}
     assert groups["1"] == 2 and groups["2.5"] == 1
     assert s.execute("SELECT SUM(v) AS s FROM m").rows()[0].s == 4.5
 
 
+@pytest.fixture(scope="module")
+def x(spark):
+    x = Session(spark)
+    x.insert_json("t", '[{"id": 1, "v": 1}, {"id": 2, "v": "x"}, {"id": 3, "v": "y"}, {"id": 4, "v": 1.5}, {"id": 5, "v": true}, {"id": 6, "v": null}, {"id": 7}, {"id": 8, "v": {"a": 1}}, {"id": 9, "v": "1"}]')
+    x.insert_json("k", '[{"g": 1, "x": 10}, {"g": 1, "x": 20}, {"g": 2, "x": 30}, {"g": null, "x": 40}]')
+    return x
+
+
+MIXED = [
+    ("SELECT A.id AS a, B.id AS b FROM t A JOIN t B ON A.v = B.v WHERE A.id < B.id", {(1, 5)}),
+    ("SELECT A.id AS a, B.id AS b FROM t A JOIN t B ON A.id != B.id WHERE A.v = B.v", {(1, 5), (5, 1), (6, 7), (7, 6)}),
+    ("SELECT A.id AS a FROM t A WHERE A.v IN (SELECT B.v FROM t B WHERE B.id IN (2, 6))", {(2,), (6,), (7,)}),
+    ("SELECT A.id AS a FROM t A WHERE A.v NOT IN (SELECT B.v FROM t B WHERE B.id IN (2, 6))", {(1,), (3,), (4,), (5,), (8,), (9,)}),
+    ("SELECT id FROM t WHERE v IN (SELECT g FROM k)", {(1,), (5,), (6,), (7,)}),
+    ("SELECT x FROM k WHERE g IN (SELECT v FROM t)", {(10,), (20,), (40,)}),
+    ("SELECT id FROM t WHERE v > 'w'", {(2,), (3,)}),
+    ("SELECT A.id AS a FROM t A JOIN t B ON A.id = B.id WHERE A.v < B.id", {(4,), (5,)}),
+    ("SELECT x FROM k WHERE g IN (SELECT g FROM k WHERE x = 30)", {(30,)}),
+    ("SELECT x FROM k WHERE g NOT IN (SELECT g FROM k WHERE x = 30)", {(10,), (20,), (40,)}),
+    ("SELECT g, COUNT(*) AS n FROM k GROUP BY g HAVING COUNT(*) > (SELECT COUNT(*) FROM k GROUP BY g HAVING g = 2)", {(1, 2)}),
+    ("SELECT CAST(MIN(v) AS TEXT) AS a, CAST(MAX(v) AS TEXT) AS b FROM t", {("1", "1.5")}),
+    ("SELECT CAST(MIN(v) AS TEXT) AS a, CAST(MAX(v) AS TEXT) AS b FROM t WHERE id IN (2, 3, 4)", {("x", "y")}),  # the kind that came first
+]
+
+
+@pytest.mark.parametrize("sql, want", MIXED)
+def test_mixed_kinds_and_the_same_collection(x, sql, want):
+    found = [tuple(r) for r in x.execute(sql).rows()]
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_sets_of_mixed_kinds(x):
+    values = lambda sql: [None if r[0] is None else str(r[0]) for r in x.execute(sql).rows()]
+    found = values("SELECT DISTINCT v FROM t ORDER BY v")
+    assert [found[0], *sorted(found[1:3]), *found[3:]] == ["null", "1", "true", "1.5", '"1"', '"x"', '"y"', '{"a":1}']
+    assert sorted(values("SELECT v FROM t UNION SELECT v FROM t"), key=str) == sorted([None, "1", "true", "1.5", '"x"', '"y"', '{"a":1}'], key=str)  # 1 and "1" read alike
+    assert [r[0] for r in x.execute("SELECT id FROM t WHERE id < 8 ORDER BY v, id DESC").rows()] == [7, 6, 5, 1, 4, 2, 3]
+    groups = {str(r.v): r.n for r in x.execute("SELECT v, COUNT(*) AS n FROM t GROUP BY v").rows()}
+    assert groups == {"None": 2, "1": 2, "true": 1, "1.5": 1, '"x"': 1, '"y"': 1, '{"a":1}': 1}
+
+
+def test_distinct_ordered_by_what_it_does_not_select(x):
+    assert [r.g for r in x.execute("SELECT DISTINCT g FROM k ORDER BY x DESC").rows()] == [None, 2, 1]
+    assert [r.g for r in x.execute("SELECT DISTINCT g FROM k ORDER BY x LIMIT 2").rows()] == [1, 2]
+
+
+def test_changes_that_ask_the_same_collection(spark):
+    s = Session(spark)
+    s.insert_json("k", '[{"g": 1, "x": 10}, {"g": 1, "x": 20}, {"g": 2, "x": 30}, {"g": null, "x": 40}]')
+    assert s.execute("DELETE FROM k WHERE g IN (SELECT g FROM k WHERE x = 30)").rows_affected == 1
+    assert s.execute("UPDATE k SET x = x + 1 WHERE g NOT IN (SELECT g FROM k WHERE x = 10)").rows_affected == 1
+    assert sorted(r.x for r in s.execute("SELECT x FROM k").rows()) == [10, 20, 41]
+
+
 def test_aggregates(s):
     r = s.execute("SELECT COUNT(*), COUNT(n), SUM(n), AVG(n), MIN(s), MAX(f), COUNT(DISTINCT b) AS d FROM t").rows()[0]
     assert (r.COUNT, r.COUNT_2, r.SUM, r.MIN, r.MAX, r.d) == (3, 2, 10, "", 2.5, 2) and abs(r.AVG - 10 / 3) < 1e-9
