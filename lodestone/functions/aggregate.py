@@ -35,7 +35,8 @@ def aggregate(name: str, arg: Value | None, distinct: bool, order: str | None =
         return v.NULL
     if arg.kind == "variant":
         # Unlike kinds don't compare: the kind that came first (else numbers, if there are any) is the one whose least or greatest value counts.
-        by = lambda x: f"{name.lower()}_by({arg.sql}, {x})"
+        tie = f"schema_of_variant({arg.sql})" if not order else order if name == "MIN" else f"-{order}"  # of equal values the first
+        by = lambda x: f"{name.lower()}_by({arg.sql}, struct({x}, {tie})) FILTER (WHERE {x} IS NOT NULL)"
         number, said = by(v.as_number(arg)), by(v.variant_text(arg))
         kind = f"CASE WHEN {v.as_number(arg)} IS NOT NULL THEN 1 WHEN schema_of_variant({arg.sql}) = 'STRING' THEN 2 END"
         first = f"min(struct({order}, {kind})) FILTER (WHERE {kind} IS NOT NULL).col2" if order else f"min({kind})"

@@ -13,7 +13,7 @@ from lodestone.plans import values as v
 from lodestone.plans.parser import DialectError
 from lodestone.plans.select import Compiler, Scope, Source
 from lodestone.sources import schema as sch
-from lodestone.sources.catalog import RID, Catalog
+from lodestone.sources.catalog import FILE, PART, RID, Catalog
 
 
 def constant(e: n.Expr, compiler: Compiler, catalog: Catalog) -> object:
@@ -64,75 +64,116 @@ def frame_of(catalog: Catalog, rows: list[dict], first_id: int) -> DataFrame:
         return float(value) if isinstance(t, T.DoubleType) else value
 
     data = [(first_id + i, *[json.dumps(r.get(f.name)) if f.name in variant and f.name in r else None if f.name in variant else fit(r.get(f.name), f.dataType) for f in s]) for i, r in enumerate(rows)]
-    df = catalog.spark.createDataFrame(data, carried)
+    df = catalog.spark.createDataFrame(data, carried).coalesce(1)  # a statement's rows are one file
     return df.select(RID, *[(F.parse_json(F.col(f"`{f.name}`")) if f.name in variant else F.col(f"`{f.name}`")).alias(f.name) for f in s])
 
 
-def next_id(catalog: Catalog, table: str) -> int:
-    return catalog.own(table).next_id if table in catalog.state.collections else 1
-
-
 def insert_rows(catalog: Catalog, table: str, rows: list[dict]) -> tuple[int, int | None]:
-    return catalog.append(table, frame_of(catalog, rows, next_id(catalog, table)), "first") if rows else (0, None)
+    return catalog.append(table, frame_of(catalog, rows, catalog.first_free(table))) if rows else (0, None)
 
 
 def insert_select(catalog: Catalog, table: str, df: DataFrame) -> tuple[int, int | None]:
-    next_id(catalog, table)
-    return catalog.append(table, df.drop(RID), "any")
+    return catalog.append(table, df.drop(RID))
 
 
 def upsert(catalog: Catalog, table: str, rows: list[dict]) -> tuple[int, int | None]:
-    """Each row in turn: its first field is the key. The first document with an equal key takes the row's fields over, and without one the row is new."""
-    last = None
+    """Each row's first field is its key. The first document with an equal key takes the row's fields over, and without one the row is new. Rows of one key field and different keys are one join; a row that repeats a key waits for those before."""
+    batches: list[list[dict]] = []
+    seen: set = set()
     for r in rows:
         if not r:
             raise DialectError("INSERT OR REPLACE needs a field")
         key, value = next(iter(r.items()))
         if isinstance(value, dict | list):
             raise DialectError("the key of INSERT OR REPLACE is a plain value")
-        match = None
-        if table in catalog.state.collections:
-            catalog.own(table)
-            name, schema = catalog.table(table)
-            found = Source(table, schema).column((key,))
-            if found is not None:
-                match = catalog.spark.sql(f"SELECT min(`{RID}`) AS id FROM {name} AS {v.quoted(table)} WHERE {v.equal(found, v.literal(value), True)}").first()[0]
-        if match is None:
-            _, last = insert_rows(catalog, table, [r])
-            continue
-        sets = frame_of(catalog, [r], match).withColumnRenamed(RID, "__id")
-        rewrite(catalog, table, f"{v.quoted(table)}.`{RID}` = {match}L", [((k,), ("frame", sets, k)) for k in r], None)
-        last = match
+        if not batches or next(iter(batches[-1][0])) != key or value in seen:
+            batches.append([])
+            seen = set()
+        batches[-1].append(r)
+        seen.add(value)
+    last = None
+    for batch in batches:
+        last = upsert_batch(catalog, table, batch)
     return len(rows), last
 
 
-def rewrite(catalog: Catalog, table: str, hit: str, sets: list[tuple[tuple[str, ...], object]], compiler: Compiler | None) -> int:
-    """The collection with the fields of rows that `hit` (a condition without null) set in turn, each on what the ones before left."""
-    catalog.own(table)
-    name, _ = catalog.table(table)
+def upsert_batch(catalog: Catalog, table: str, rows: list[dict]) -> int | None:
+    key, at = next(iter(rows[0])), {}
+    if table in catalog.state.collections:
+        catalog.own(table)
+        view, schema = catalog.view(catalog.frame(table, at=True)), catalog.state.collections[table].schema
+        found = Source(table, schema).column((key,))
+        if found is not None and found.kind in ("int", "float", "bool", "str", "variant"):
+            keys = ", ".join(f"({i}, {'CAST(NULL AS STRING)' if r[key] is None else v.key(v.literal(r[key]))})" for i, r in enumerate(rows))
+            least = f"min(struct(`{RID}`, `{PART}`, `{FILE}`))"
+            said = f"SELECT /*+ BROADCAST(k) */ k.i, {least} AS at FROM {view} AS {v.quoted(table)} JOIN (VALUES {keys}) AS k(i, key) ON {v.key(found, 'o')} <=> k.key GROUP BY k.i"
+            at = {r.i: r.at for r in catalog.spark.sql(said).collect()}  # a row for each row of the statement at most
+    last = at[len(rows) - 1][RID] if len(rows) - 1 in at else None
+    if at:
+        hit: dict[int, set[str]] = {}
+        for where in at.values():
+            hit.setdefault(where[PART], set()).add(where[FILE])
+        values = frame_of(catalog, [rows[i] for i in at], 0)
+        fields = [f for f in values.columns if f != RID]
+        has = {k: [i for i, r in zip(at.values(), (rows[i] for i in at), strict=True) if k in r] for k in fields}
+        ids = {n: where[RID] for n, where in enumerate(at.values())}
+        number = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])[F.col(RID)]
+        new = values.select(number.cast("bigint").alias("__id"), *[F.col(v.quoted(k)).alias(f"__v_{k}") for k in fields])
+        df = touched(catalog, table, hit).join(F.broadcast(new), F.col(RID) == F.col("__id"), "left")
+        for k in fields:
+            mine = ", ".join(str(where[RID]) + "L" for where in has[k]) or "NULL"
+            df = put(df.withColumn("__hit", F.expr(f"coalesce(`{RID}` IN ({mine}), FALSE)")), (k,), v.Value(v.quoted(f"__v_{k}"), values.schema[k].dataType))
+        catalog.replace(table, hit, df.drop("__hit", "__id", *[f"__v_{k}" for k in fields]))
+    fresh = [r for i, r in enumerate(rows) if i not in at]
+    if fresh:
+        _, new_last = insert_rows(catalog, table, fresh)
+        last = new_last if len(rows) - 1 not in at else last
+    return last
+
+
+def touched(catalog: Catalog, table: str, hit: dict[int, set[str]]) -> DataFrame:
+    """The rows of the files that are hit."""
+    where = " OR ".join(f"(`{PART}` = {k} AND `{FILE}` IN ({', '.join(v.text(x) for x in sorted(files))}))" for k, files in hit.items())
+    return catalog.frame(table, at=True).where(where).drop(PART, FILE)
+
+
+def hits(catalog: Catalog, table: str, condition: str, own: str) -> tuple[int, dict[int, set[str]]]:
+    """How many rows a condition without null holds for, and the files they stand in. One scan of the columns it names; a row for each file reaches the driver."""
+    view = catalog.view(catalog.frame(table, at=True))
+    found = catalog.spark.sql(f"SELECT `{PART}` AS p, `{FILE}` AS f, count(1) AS n FROM {view} AS {own} WHERE {condition} GROUP BY `{PART}`, `{FILE}`").collect()
+    out: dict[int, set[str]] = {}
+    for r in found:
+        out.setdefault(r.p, set()).add(r.f)
+    return sum(r.n for r in found), out
+
+
+def rewrite(catalog: Catalog, table: str, condition: str, sets: list[tuple[tuple[str, ...], n.Expr]], compiler: Compiler) -> int:
+    """The files that have rows the condition holds for, with fields of those rows set in turn, each on what the ones before left."""
     spark, own = catalog.spark, v.quoted(table)
-    count = spark.sql(f"SELECT count(1) FROM {name} AS {own} WHERE {hit}").first()[0]
+    count, hit = hits(catalog, table, condition, own)
     if not count:
         return 0
-    df = spark.sql(f"SELECT *, {hit} AS `__hit` FROM {name} AS {own}")
+    numbered(catalog, table, hit)
+    df = spark.sql(f"SELECT *, {condition} AS `__hit` FROM {catalog.view(touched(catalog, table, hit))} AS {own}")
     for path, new in sets:
-        if isinstance(new, tuple):
-            _, values, k = new
-            row = values.first()
-            at, t = f"__v_{k}", values.schema[k].dataType
-            one = values.select(F.col(f"`{k}`").alias(at))
-            df = df.crossJoin(F.broadcast(one)) if isinstance(t, T.StructType | T.ArrayType | T.VariantType) else df.withColumn(at, F.lit(row[k]))  # one row
-            value = v.Value(v.quoted(at), t)
-        else:
-            view = catalog.view(df)
-            found = compiler.value(new, Scope([Source(table, df.schema)]))
-            df = spark.sql(f"SELECT *, {found.sql} AS `__value` FROM {view} AS {own}")
-            value = v.Value("`__value`", found.type)
-        df = put(df, path, value).drop("__value", v.quoted(f"__v_{path[0]}").strip("`"))
-    catalog.replace(table, df.drop("__hit"))
+        view = catalog.view(df)
+        found = compiler.value(new, Scope([Source(table, df.schema)]))
+        df = spark.sql(f"SELECT *, {found.sql} AS `__value` FROM {view} AS {own}")
+        df = put(df, path, v.Value("`__value`", found.type)).drop("__value")
+    catalog.replace(table, hit, df.drop("__hit"))
     return count
 
 
+def numbered(catalog: Catalog, table: str, hit: dict[int, set[str]]) -> None:
+    """Before rows of a registered frame are written, all of them get ids."""
+    c = catalog.state.collections[table]
+    if any(c.parts[k].frame is not None for k in hit):
+        catalog.own(table)
+        for k in hit:
+            if "" in hit[k]:
+                hit[k] = {x for x in catalog._names(c.parts[k].path) if x.endswith(".parquet")}
+
+
 def put(df: DataFrame, path: tuple[str, ...], value: v.Value) -> DataFrame:
     """value at path in the rows that are hit; kinds that conflict become VARIANT."""
 
@@ -164,21 +205,20 @@ def put(df: DataFrame, path: tuple[str, ...], value: v.Value) -> DataFrame:
 def update(catalog: Catalog, compiler: Compiler, u: n.Update) -> int:
     if u.table not in catalog.state.collections:
         return 0
-    catalog.own(u.table)
-    _, schema = catalog.table(u.table)
-    scope = Scope([Source(u.table, schema)])
-    hit = compiler.predicate(u.where, scope, False) if u.where else "TRUE"
+    scope = Scope([Source(u.table, catalog.state.collections[u.table].schema)])
+    condition = compiler.predicate(u.where, scope, False) if u.where else "TRUE"
     sets = [(path, n.Literal(compiler.draw(e.name, e.draw)) if isinstance(e, n.Sequence) else e) for path, e in u.sets]
-    return rewrite(catalog, u.table, hit, sets, compiler)
+    return rewrite(catalog, u.table, condition, sets, compiler)
 
 
 def delete(catalog: Catalog, compiler: Compiler, d: n.Delete) -> int:
     if d.table not in catalog.state.collections:
         return 0
-    catalog.own(d.table)
-    name, schema = catalog.table(d.table)
-    hit = compiler.predicate(d.where, Scope([Source(d.table, schema)]), False) if d.where else "TRUE"
-    count = catalog.spark.sql(f"SELECT count(1) FROM {name} AS {v.quoted(d.table)} WHERE {hit}").first()[0]
+    own = v.quoted(d.table)
+    condition = compiler.predicate(d.where, Scope([Source(d.table, catalog.state.collections[d.table].schema)]), False) if d.where else "TRUE"
+    count, hit = hits(catalog, d.table, condition, own)
     if count:
-        catalog.replace(d.table, catalog.spark.sql(f"SELECT * FROM {name} AS {v.quoted(d.table)} WHERE NOT {hit}"), count)
+        numbered(catalog, d.table, hit)
+        left = catalog.spark.sql(f"SELECT * FROM {catalog.view(touched(catalog, d.table, hit))} AS {own} WHERE NOT {condition}")
+        catalog.replace(d.table, hit, left, count)
     return count

@@ -21,8 +21,8 @@ HELP = """.tables .collections   collections
 
 
 class Repl:
-    def __init__(self, session: Session, show: int = 100):
-        self.session, self.show, self.pending = session, show, ""
+    def __init__(self, session: Session):
+        self.session, self.pending = session, ""
 
     def feed(self, line: str) -> Iterator[str]:
         """What a line of input brings; statements may run over lines. Raises EOFError at the end."""
@@ -44,10 +44,11 @@ class Repl:
                 last = f", last id {result.last_insert_id}" if result.last_insert_id else ""
                 yield f"{result.rows_affected} documents{last}"
                 return
-            rows = result.df.take(self.show + 1)
-            for row in rows[: self.show]:
+            n = 0
+            for row in result.df.toLocalIterator():  # a partition at a time
+                n += 1
                 yield str(row.asDict(True))
-            yield f"more than {self.show} rows" if len(rows) > self.show else f"{len(rows)} rows"
+            yield f"{n} rows"
         except Exception as error:  # noqa: BLE001  the prompt goes on
             yield f"error: {str(error).splitlines()[0]}"
 

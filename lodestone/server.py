@@ -20,7 +20,8 @@ def plain(x: object) -> object:
 
 
 def answer(session: Session, method: str, path: str, body: str) -> Iterator[str]:
-    """The JSON of an answer, in pieces."""
+    """The JSON of an answer, in pieces. An error after the first row ends the answer with `error` beside the rows sent."""
+    close = ""
     try:
         if method == "POST" and path == "/query":
             said = json.loads(body)
@@ -31,6 +32,7 @@ def answer(session: Session, method: str, path: str, body: str) -> Iterator[str]
             rows = result.df.toLocalIterator()
             first = next(rows, None)  # errors show before anything is sent
             yield '{"docs": ['
+            close = "]"
             if first is not None:
                 yield json.dumps(first.asDict(True), default=plain)
                 for r in rows:
@@ -44,11 +46,16 @@ def answer(session: Session, method: str, path: str, body: str) -> Iterator[str]
         elif method == "GET" and path == "/schema":
             yield json.dumps({c: session.schema(c) for c in session.collections()})
         elif method == "GET" and path == "/dump":
-            yield json.dumps("\n".join(session.dump()))
+            yield '"'
+            close = '"'
+            for k, line in enumerate(session.dump()):
+                yield json.dumps(("\n" if k else "") + line)[1:-1]
+            yield '"'
         else:
             yield json.dumps({"error": f"no {method} {path}"})
     except Exception as error:  # noqa: BLE001
-        yield json.dumps({"error": str(error).splitlines()[0]})
+        said = str(error).splitlines()[0]
+        yield {"": json.dumps({"error": said}), "]": f'], "error": {json.dumps(said)}}}', '"': json.dumps(f"\n-- error: {said}")[1:]}[close]
 
 
 def serve(session: Session, port: int = 8080, host: str = "127.0.0.1") -> ThreadingHTTPServer:

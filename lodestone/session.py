@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,7 +17,7 @@ from lodestone.plans import values as v
 from lodestone.plans.explain import described
 from lodestone.plans.parser import DialectError, parse
 from lodestone.plans.select import Compiler, groupable
-from lodestone.sources.catalog import RID, Catalog, Collection, Counter
+from lodestone.sources.catalog import RID, Catalog, Collection, Conflict, Counter
 
 EMPTY = f"(SELECT CAST(NULL AS BIGINT) AS `{RID}` WHERE FALSE)"
 
@@ -37,7 +38,7 @@ class Session:
     """A database: in `root` if one is given, else for as long as the session lasts."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, read_only: bool = False):
-        self.spark, self.catalog, self.read_only = spark, Catalog(spark, root), read_only
+        self.spark, self.catalog = spark, Catalog(spark, root, read_only)
         self._open: list[str] = []
         self._transaction = None
 
@@ -66,8 +67,10 @@ class Session:
             for name in (statement.table, *[j.table for j in statement.joins]):
                 if (df := self.catalog.frame(name)) is not None:
                     df.unpersist()
-        compiler = Compiler(self, params, None)
-        return self.spark.sql(compiler.select(statement)[0])
+        out = self.spark.sql(Compiler(self, params, None).select(statement)[0])
+        if not self._open:
+            self.catalog.passed()
+        return out
 
     def run(self, s, params: tuple = ()) -> Result:
         if isinstance(s, n.Select | n.Union):
@@ -75,12 +78,29 @@ class Session:
         if isinstance(s, n.Explain):
             said = described(self, s.statement)
             return Result(self.spark.createDataFrame([Row(**said)]))
-        if self.read_only:
-            raise PermissionError("the database is open for reading only")
-        out = self.change(s, params)
-        if self._transaction is None:
-            self.catalog.save()
-        return out
+        with self.changing():
+            return self.change(s, params)
+
+    @contextmanager
+    def changing(self) -> Iterator[None]:
+        """The one way to a change: refused when reading only, whole or not at all, and committed unless a transaction is open."""
+        self.catalog.writable()
+        before = self.catalog.state.snapshot()
+        sequences = self.catalog.state.sequences
+        try:
+            yield
+            if self._transaction is None:
+                self.catalog.save()
+        except Conflict:
+            self.catalog.load()
+            raise
+        except BaseException:
+            before.sequences = sequences  # numbers that were drawn stay drawn
+            self.catalog.state = before
+            self.catalog.forget()
+            raise
+        finally:
+            self.catalog.passed()
 
     def change(self, s, params: tuple) -> Result:
         state, compiler = self.catalog.state, self.compiler(params)
@@ -101,7 +121,7 @@ class Session:
             case n.Truncate(table):
                 self.known(table)
                 c = state.collections[table]
-                count = self.catalog.frame(table).count()
+                count = self.catalog.rows(table)
                 state.collections[table] = Collection(c.schema)
                 self.catalog.forget(table)
                 return Result(None, count)
@@ -124,6 +144,7 @@ class Session:
                         raise DialectError(f"there is an index on {s.name}({s.path})")
                 else:
                     state.indexes.append((s.name, s.path))
+                    self.catalog.sort(s.name, s.path)
             case n.Drop("INDEX", table, path, lenient):
                 if (table, path) not in state.indexes:
                     if not lenient:
@@ -192,26 +213,21 @@ class Session:
 
     def insert_json(self, table: str, text: str) -> Result:
         """A JSON object, or an array of them; whole numbers become integers."""
-        if self.read_only:
-            raise PermissionError("the database is open for reading only")
         said = json.loads(text, parse_float=lambda x: int(float(x)) if float(x).is_integer() else float(x))
         rows = said if isinstance(said, list) else [said]
         if not all(isinstance(r, dict) for r in rows):
             raise DialectError("only objects are documents")
-        out = Result(None, *dml.insert_rows(self.catalog, table, rows))
-        if self._transaction is None:
-            self.catalog.save()
-        return out
+        with self.changing():
+            return Result(None, *dml.insert_rows(self.catalog, table, rows))
 
     def import_json(self, table: str, path: str) -> Result:
         """A file or folder of JSON, one object or array of objects a file, read by Spark."""
-        df = self.spark.read.option("multiLine", True).option("prefersDecimal", False).json(path)
-        out = Result(None, *dml.insert_select(self.catalog, table, df))
-        if self._transaction is None:
-            self.catalog.save()
-        return out
+        with self.changing():
+            df = self.spark.read.option("multiLine", True).option("prefersDecimal", False).json(path)
+            return Result(None, *dml.insert_select(self.catalog, table, df))
 
     def begin(self) -> Transaction:
+        self.catalog.writable()
         if self._transaction is not None:
             raise DialectError("a transaction is open")
         self._transaction = Transaction(self)
@@ -275,7 +291,14 @@ class Session:
                 yield f"INSERT INTO {name} VALUES {row[0]};"
 
     def vacuum(self) -> int:
-        return self.catalog.vacuum()
+        """Refused in a transaction: a rollback needs the parts that it would delete."""
+        if self._transaction is not None:
+            raise DialectError("vacuum runs outside of transactions")
+        try:
+            return self.catalog.vacuum()
+        except Conflict:
+            self.catalog.load()
+            raise
 
 
 class Transaction:
@@ -295,7 +318,11 @@ class Transaction:
     def commit(self) -> None:
         self._check()
         self.session._transaction = None
-        self.session.catalog.save()
+        try:
+            self.session.catalog.save()
+        except Conflict:
+            self.session.catalog.load()
+            raise
 
     def rollback(self) -> None:
         self._check()
