@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,14 +148,14 @@ def hits(catalog: Catalog, table: str, condition: str, own: str) -> tuple[int, d
     return sum(r.n for r in found), out
 
 
-def rewrite(catalog: Catalog, table: str, condition: str, sets: list[tuple[tuple[str, ...], n.Expr]], compiler: Compiler) -> int:
+def rewrite(catalog: Catalog, table: str, condition: Callable[[], str], sets: list[tuple[tuple[str, ...], n.Expr]], compiler: Compiler) -> int:
     """The files that have rows the condition holds for, with fields of those rows set in turn, each on what the ones before left."""
     spark, own = catalog.spark, v.quoted(table)
-    count, hit = hits(catalog, table, condition, own)
+    count, hit = hits(catalog, table, condition(), own)
     if not count:
         return 0
     numbered(catalog, table, hit)
-    df = spark.sql(f"SELECT *, {condition} AS `__hit` FROM {catalog.view(touched(catalog, table, hit))} AS {own}")
+    df = spark.sql(f"SELECT *, {condition()} AS `__hit` FROM {catalog.view(touched(catalog, table, hit))} AS {own}")
     for path, new in sets:
         view = catalog.view(df)
         found = compiler.value(new, Scope([Source(table, df.schema)]))
@@ -206,7 +207,7 @@ def update(catalog: Catalog, compiler: Compiler, u: n.Update) -> int:
     if u.table not in catalog.state.collections:
         return 0
     scope = Scope([Source(u.table, catalog.state.collections[u.table].schema)])
-    condition = compiler.predicate(u.where, scope, False) if u.where else "TRUE"
+    condition = lambda: compiler.predicate(u.where, scope, False) if u.where else "TRUE"  # noqa: E731  compiled when it is used: its subqueries name views of the collection as it is then
     sets = [(path, n.Literal(compiler.draw(e.name, e.draw)) if isinstance(e, n.Sequence) else e) for path, e in u.sets]
     return rewrite(catalog, u.table, condition, sets, compiler)
 
@@ -215,10 +216,11 @@ def delete(catalog: Catalog, compiler: Compiler, d: n.Delete) -> int:
     if d.table not in catalog.state.collections:
         return 0
     own = v.quoted(d.table)
-    condition = compiler.predicate(d.where, Scope([Source(d.table, catalog.state.collections[d.table].schema)]), False) if d.where else "TRUE"
-    count, hit = hits(catalog, d.table, condition, own)
+    scope = Scope([Source(d.table, catalog.state.collections[d.table].schema)])
+    condition = lambda: compiler.predicate(d.where, scope, False) if d.where else "TRUE"
+    count, hit = hits(catalog, d.table, condition(), own)
     if count:
         numbered(catalog, d.table, hit)
-        left = catalog.spark.sql(f"SELECT * FROM {catalog.view(touched(catalog, d.table, hit))} AS {own} WHERE NOT {condition}")
+        left = catalog.spark.sql(f"SELECT * FROM {catalog.view(touched(catalog, d.table, hit))} AS {own} WHERE NOT {condition()}")
         catalog.replace(d.table, hit, left, count)
     return count

