@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.catalog import shared_folder
+
 #: Least and largest Bloom filter that is sent to executors, in bits: 128 KB to 32 MB, whatever the data.
 BLOOM_LEAST, BLOOM_MOST = 1 << 20, 1 << 28
 
@@ -53,17 +55,6 @@ def unpacked(df: DataFrame, cols: list[str], **replaced: str) -> DataFrame:
     return df.select(*[(F.expr(replaced[c]) if c in replaced else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(cols)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. The cluster names it in spark.checkpoint.dir; a session without one gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return sc.getCheckpointDir()
-
-
 #: Rows of an Arrow batch while a scratch table is written: a few MB of documents, held by the JVM and by Python.
 BATCH_ROWS = 1000
 
@@ -80,27 +71,42 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors. What results still read stays until `release` or the program's end."""
+
+    kept: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
+        if not Scratch.kept:
+            atexit.register(release)
+        Scratch.kept.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         with small_batches(self.spark):
             df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def _delete(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(name)
 
     def keep_only(self, *names: str) -> None:
         """Gives back the room of all tables but these, which results still read."""
         root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for found in fs.listStatus(root):
-            if found.getPath().getName() not in names:
-                fs.delete(found.getPath(), True)
+        if fs.exists(root):
+            self._delete(*[x for found in fs.listStatus(root) if (x := found.getPath().getName()) not in names])
+
+
+def release() -> None:
+    """Deletes the scratch tables of this program. Results that read them must have been written or read."""
+    while Scratch.kept:
+        with suppress(Exception):  # the session may have ended
+            Scratch.kept.pop()._delete("")
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:

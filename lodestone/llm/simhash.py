@@ -9,7 +9,7 @@ are pruned with everything below. What is left is compared bit by bit, so links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,20 +49,25 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         lo = np.repeat(first, spans) + (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
         hi = np.minimum(lo + shingle, np.repeat(b.word_at[1:], spans))
         whole = joined.tobytes()
-        full = np.flatnonzero(spans)
-        upto = np.concatenate([[0], np.cumsum(spans[full])])
         starts, ends = at[lo], at[hi] - 1
-        step = 1 << 16
-        ones = np.zeros((len(full), 64), np.int64)
-        for i in range(0, len(lo), step):  # bits of so many shingles at once: memory doesn't grow with the text
-            part = slice(i, i + step)
-            h = np.array([digest(whole[s:e], SEED) for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], np.uint64)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            j0, j1 = np.searchsorted(upto, i, "right") - 1, np.searchsorted(upto, i + len(h), "left")
-            cut = np.maximum(upto[j0:j1] - i, 0)
-            ones[j0:j1] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-        over = ones * 2 > spans[full][:, None]
-        out[b.lo + full] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[b.lo : b.hi] = majority(lambda part: np.array([digest(whole[s:e], SEED) for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], np.uint64), spans)  # noqa: B023
+    return out
+
+
+def majority(hashes: Callable[[slice], np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from its shingles' hashes, counts[d] of them for text d: bits that are set in over half of them."""
+    out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    upto = np.concatenate([[0], np.cumsum(counts[full])])
+    ones = np.zeros((len(full), 64), np.int64)
+    step = 1 << 16
+    for i in range(0, int(upto[-1]), step):  # bits of so many shingles at once: memory doesn't grow with the text
+        h = hashes(slice(i, i + step))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        j0, j1 = np.searchsorted(upto, i, "right") - 1, np.searchsorted(upto, i + len(h), "left")
+        cut = np.maximum(upto[j0:j1] - i, 0)
+        ones[j0:j1] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    over = ones * 2 > counts[full][:, None]
+    out[full] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -230,15 +235,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs less those whose component has a smaller doc_id. Rows without an id stay."""
-    found = near_duplicates(spark, docs)
-    gone = Scratch(spark, "dropped").write(found.where("doc_id > component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    cols = docs.columns
-    flat = docs.toDF(*[f"c{i}" for i in range(len(cols))])
-    at = cols.index("doc_id") if "doc_id" in cols else [c.lower() for c in cols].index("doc_id")
-    return flat.join(gone, flat[f"c{at}"] == gone["gone"], "left_anti").toDF(*cols)
-
-
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spread(table(spark, sf_dir, "documents")))

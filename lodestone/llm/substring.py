@@ -42,7 +42,7 @@ def occurrences(b: Block, window: int, seed: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     n = np.diff(np.concatenate([first, [len(at)]]))
     lo, at = start[first], at[first]
-    extent = span_hash(words, lo, lo + n + window - 1, "word")
+    extent = span_hash(words, lo, lo + n + window - 1)
     return doc[lo] if len(lo) else lo, seeds[at].view(np.int64), at - lo, n, extent.view(np.int64), lo - b.word_at[doc[lo]] if len(lo) else lo, words
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes handled at once; a longer text is a block of its own.
 BLOCK = 1 << 19
@@ -16,10 +17,9 @@ SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 NOT_ALNUM = ~np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
-_RANDOM = np.random.RandomState(20240607)
-_BYTE = _RANDOM.randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = {"byte": 0xD6E8FEB86659FD93, "word": 0xA0761D6478BD642F}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: What is kept of a lane of 8 bytes of which the first n count.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,25 +29,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, modulo 2**64, of a base and of its inverse."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        base, size = _BASES[kind], max(n, 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _powers[kind] = out[0], out[1]
-    return _powers[kind][0][:n], _powers[kind][1][:n]
+def both(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order. It isn't linear in either, so no pattern of words makes spans collide, as it may with polynomials modulo 2**64."""
+    return mix(mix(left + _A) * _B + right)
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, the same wherever the span stands."""
-    up, down = powers(kind, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each span, the same wherever the span stands.
+
+    A span is told by its length and by the two spans of the next lower power of two at its ends, which cover it; those are built
+    by doubling. Levels are arrays as long as values, of which one is held at a time.
+    """
+    out, n = np.zeros(len(start), np.uint64), end - start
+    level, size = values, 1
+    while len(n) and size <= n.max():
+        own = np.flatnonzero((n >= size) & (n < 2 * size))
+        if len(own):
+            out[own] = both(level[start[own]], level[end[own] - size]) + n[own].astype(np.uint64) * _C
+        if 2 * size > min(n.max(), len(values)):
+            break
+        level = both(level[:-size], level[size:])
+        size *= 2
+    return mix(out)
 
 
 @dataclass
@@ -73,13 +76,15 @@ class Block:
         return np.repeat(np.arange(self.hi - self.lo), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A hash of each word. Bytes are taken in pieces cut between words, so memory doesn't grow with the text."""
-        out, i = np.empty(len(self.start), np.uint64), 0
-        while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + BLOCK)))
-            a, b = self.start[i], self.end[j - 1]
-            out[i:j] = span_hash(_BYTE[self.data[a:b]], self.start[i:j] - a, self.end[i:j] - a, "byte")
-            i = j
+        """A hash of each word: of its bytes as two lanes and its length, and of longer words by XXH3."""
+        padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        lane = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+        n = self.end - self.start
+        low = lane[self.start] & _KEEP[np.minimum(n, 8)]
+        high = lane[np.minimum(self.start + 8, len(lane) - 1)] & _KEEP[np.clip(n - 8, 0, 8)]
+        out = mix(both(low, high) + n.astype(np.uint64) * _C)
+        for i in np.flatnonzero(n > 16).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), 16)
         return out
 
 
@@ -110,7 +115,7 @@ def blocks(texts: pa.Array, space: np.ndarray = SPACE, lower: bool = False, limi
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive words; windows that run over the end of a text are for the caller to leave out."""
     i = np.arange(max(0, len(hashes) - k + 1))
-    return span_hash(hashes, i, i + k, "word")
+    return span_hash(hashes, i, i + k)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:

@@ -125,11 +125,3 @@ def test_components(spark, edges):
 def test_long_chain(spark):
     found = connected_components(spark.range(300).selectExpr("id as u", "id + 1 as v"), Scratch(spark, "test")).collect()
     assert len(found) == 301 and {r.root for r in found} == {0}
-
-
-def test_deduplicated_keeps_one_of_each_group(spark):
-    docs = samples.frame(spark)
-    kept = sh.deduplicated(spark, docs)
-    assert kept.columns == docs.columns
-    found = {(r.doc_id, r.component_id) for r in sh.near_duplicates(spark, docs).collect()}
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, c in found if i is not None and i <= c}

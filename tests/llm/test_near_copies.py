@@ -5,7 +5,7 @@ import random
 import pytest
 import samples
 
-from lodestone.llm import similar
+from lodestone.llm import near_copies
 
 
 def shingles(text):
@@ -53,11 +53,12 @@ def near():
     return list(zip(ids, out, strict=True))
 
 
-@pytest.mark.parametrize("common", [2, 10**9])
-def test_every_near_copy_is_found(spark, monkeypatch, common):
-    monkeypatch.setattr(similar, "COMMON", common)
+@pytest.mark.parametrize("rounds, part", [((2, 6, 16), 2048), ((16,), 5), ((1, 2, 16), 3)])
+def test_every_near_copy_is_found(spark, monkeypatch, rounds, part):
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "PART_NODES", part)
     rows = near() + samples.texts()
-    kept = similar.deduplicated(spark, samples.frame(spark, rows))
+    kept = near_copies.deduplicated(spark, samples.frame(spark, rows))
     assert kept.columns == samples.frame(spark, rows).columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == plain(rows)
 
@@ -65,15 +66,15 @@ def test_every_near_copy_is_found(spark, monkeypatch, common):
 def test_near_copies_that_simhash_misses(spark):
     rows = [(1, " ".join(samples.words(3, 200)))]
     rows.append((2, edited(rows[0][1], 4, 2)))
-    assert [r.doc_id for r in similar.deduplicated(spark, samples.frame(spark, rows)).collect()] == [1]
+    assert [r.doc_id for r in near_copies.deduplicated(spark, samples.frame(spark, rows)).collect()] == [1]
 
 
 def test_no_rows(spark):
-    assert similar.deduplicated(spark, samples.frame(spark, [])).collect() == []
+    assert near_copies.deduplicated(spark, samples.frame(spark, [])).collect() == []
 
 
 def test_rows_that_repeat_an_id(spark):
     a, b, c = (" ".join(samples.words(k, 60)) for k in (21, 22, 23))
     rows = [(1, a), (3, f" {a}"), (3, b), (2, c), (2, c), (2, f" {c}")]
-    kept = similar.deduplicated(spark, samples.frame(spark, rows)).collect()
+    kept = near_copies.deduplicated(spark, samples.frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.text.strip()) for r in kept) == [(1, a), (2, c), (3, b)]

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 import samples
 
 from lodestone.llm import words as w
@@ -24,11 +25,44 @@ def test_equal_words_hash_alike_wherever_they_stand():
     for s, e, x in zip(b.start, b.end, h, strict=True):
         assert by.setdefault(b.data[s:e].tobytes(), x) == x
     assert len(set(by.values())) == len(by)
-    old, w.BLOCK = w.BLOCK, 64
-    try:
-        assert (b.hashes() == h).all()
-    finally:
-        w.BLOCK = old
+
+
+def test_words_that_begin_alike_hash_apart():
+    base = "x" * 40
+    some = [base[:n] for n in range(1, 41)] + [base[:n] + "y" for n in range(40)] + ["y" + base[:n] for n in range(1, 40)] + ["\x00" * n for n in range(1, 20)]
+    h = next(w.blocks(pa.array([" ".join(some)]))).hashes()
+    assert len(set(h.tolist())) == len(set(some)) == len({int(x) >> 32 for x in h})
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+@pytest.mark.parametrize("size", [256, 512, 1024, 2048, 4096])
+def test_patterns_that_defeat_polynomials(size):
+    """Words, and spans of words, that any polynomial modulo 2**64 takes for equal."""
+    one = thue_morse(size)
+    other = one.translate(str.maketrans("ab", "ba"))
+    h = next(w.blocks(pa.array([f"{one} {other}"]))).hashes()
+    assert h[0] != h[1]
+    h = next(w.blocks(pa.array([" ".join(one + other)]))).hashes()
+    spans = w.span_hash(h, np.array([0, size]), np.array([size, 2 * size]))
+    assert spans[0] != spans[1]
+
+
+def test_spans_hash_by_content_alone():
+    rnd = np.random.RandomState(5)
+    values = rnd.randint(0, 3, 400).astype(np.uint64)
+    start = rnd.randint(0, 380, 3000)
+    end = np.minimum(start + rnd.randint(1, 20, 3000), 400)
+    by = {}
+    for a, b, x in zip(start.tolist(), end.tolist(), w.span_hash(values, start, end).tolist(), strict=True):
+        assert by.setdefault(values[a:b].tobytes(), x) == x
+    assert len(set(by.values())) == len(by)
+    assert (w.windows(values, 7) == w.span_hash(values, np.arange(394), np.arange(394) + 7)).all() and len(w.windows(values, 500)) == 0
 
 
 def test_sliding_argmin():
