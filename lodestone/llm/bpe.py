@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
+from lodestone.llm.common import arrow_pass, list_array, pick, spread, table, with_row
 from lodestone.llm.tokens import splitter
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -62,7 +62,7 @@ class Ids(dict):
     def __init__(self, name: str, most: int = 1 << 21):
         self.tokenizer, self.most, self.held = codec(name)[0], most, 0
 
-    def of(self, pieces: list[str]) -> list[int]:
+    def of(self, pieces: list[str]) -> np.ndarray:
         if self.held > self.most:
             self.clear()
             self.held = 0
@@ -70,7 +70,7 @@ class Ids(dict):
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[p] = np.array(e.ids, "<u4").tobytes()
             self.held += len(p)
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4").tolist()
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4")
 
 
 @cache
@@ -78,7 +78,7 @@ def remembered(name: str) -> Ids:
     return Ids(name)
 
 
-def encoded(texts: pa.Array, name: str = VOCABULARY) -> Iterator[tuple[str, list[int]]]:
+def encoded(texts: pa.Array, name: str = VOCABULARY) -> Iterator[tuple[str, np.ndarray]]:
     """Each text with its ids, null as empty."""
     known = remembered(name)
     for text in texts:
@@ -86,32 +86,35 @@ def encoded(texts: pa.Array, name: str = VOCABULARY) -> Iterator[tuple[str, list
         yield text, known.of(splitter().findall(text))
 
 
-def decoded_bytes(ids: list[int], name: str = VOCABULARY) -> bytes:
+def decoded_bytes(ids: np.ndarray | list[int], name: str = VOCABULARY) -> bytes:
     pieces = codec(name)[1]
-    return b"".join(map(pieces.__getitem__, ids))
+    return b"".join([pieces[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
 
 
-def character_offsets(text: str, ids: list[int], name: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each token in characters. A token with a part of a character covers the character, as do its neighbours with the other parts."""
-    pieces = codec(name)[1]
+@cache
+def lengths(name: str) -> np.ndarray:
+    """The bytes of each id."""
+    return np.array([len(p) for p in codec(name)[1]], np.int64)
+
+
+def character_offsets(text: str, ids: np.ndarray, name: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each token in characters, end exclusive. A token with a part of a character covers the character, as do its neighbours with the other parts."""
     data = np.frombuffer(text.encode(), np.uint8)
+    end = np.cumsum(lengths(name)[ids])
+    start = end - lengths(name)[ids]
+    if len(data) == len(text):
+        return start, end
     char = np.concatenate([np.cumsum((data & 0xC0) != 0x80), [len(text) + 1]])
-    end = np.cumsum([len(pieces[i]) for i in ids], dtype=np.int64)
-    start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(ids) else end
-    return char[start] - 1 if len(ids) else end, char[end - 1] if len(ids) else end
+    return char[start] - 1, char[end - 1]
 
 
 def with_ids(rows: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """(row, text) -> (row, ids, starts, ends): the ids of each text and their offsets in characters."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, starts, ends = [], [], []
-        for text, found in encoded(batch.column(1), name):
-            a, b = character_offsets(text, found, name)
-            ids.append(found)
-            starts.append(a)
-            ends.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.list_(pa.int32())) for x in (ids, starts, ends)]], ["row", "ids", "starts", "ends"])
+        found = [(ids, *character_offsets(text, ids, name)) for text, ids in encoded(batch.column(1), name)]
+        counts = np.array([len(ids) for ids, _, _ in found])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[list_array(counts, pa.array(np.concatenate(x).astype(np.int32))) for x in zip(*found, strict=True)]], ["row", "ids", "starts", "ends"])
 
     many = T.ArrayType(T.IntegerType())
     return arrow_pass(rows, run, with_row(rows, ("ids", many), ("starts", many), ("ends", many)))
@@ -127,25 +130,28 @@ def with_text(rows: DataFrame, name: str = VOCABULARY) -> DataFrame:
     return arrow_pass(rows, run, with_row(rows, ("decoded", T.StringType())))
 
 
-def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of docs.
+def digests(docs: DataFrame, name: str = VOCABULARY, keep: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) -> (doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256), a row for each row of docs; keep: with ids, starts and ends.
 
-    Null and empty texts have no tokens. Strings of special tokens in a text are ordinary text. Nothing is grouped, so
+    The last is over the start and end of each token in characters, little-endian unsigned 32-bit integers, pair by pair. Null and empty texts have no tokens. Strings of special tokens in a text are ordinary text. Nothing is grouped, so
     repeated rows and null ids are encoded each for itself. Other columns are ignored. No rows: no rows.
     """
     own = pick(docs, "doc_id", "text")
+    said = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, shas, texts = [], [], []
-        for _, ids in encoded(batch.column(1), name):
-            n.append(len(ids))
-            shas.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-            texts.append(hashlib.sha256(decoded_bytes(ids, name)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-
+        found = [(ids, np.stack(character_offsets(text, ids, name), 1).astype("<u4")) for text, ids in encoded(batch.column(1), name)]
+        counts = np.array([len(ids) for ids, _ in found])
+        out = [pa.array(counts, pa.int64()), *[pa.array(x, pa.string()) for x in ([said(i.tobytes()) for i, _ in found], [said(decoded_bytes(i, name)) for i, _ in found], [said(o.tobytes()) for _, o in found])]]
+        if keep:
+            at = np.concatenate([o for _, o in found]).astype(np.int32)
+            out += [list_array(counts, pa.array(x)) for x in (np.concatenate([i for i, _ in found]).astype(np.int32), at[:, 0], at[:, 1])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["row", *names])
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", *(["ids", "starts", "ends"] if keep else [])]
+    kinds = [T.LongType(), *[T.StringType()] * 3, *[T.ArrayType(T.IntegerType())] * 3]
     rows = own.select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text"))
-    schema = with_row(rows, ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
-    return arrow_pass(rows, run, schema).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return arrow_pass(rows, run, with_row(rows, *zip(names, kinds, strict=False))).select("row.doc_id", *names)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def plain(rows):
-    """The texts kept, with their ids."""
+def plain_kept(rows):
+    """The rows (id, text) that stay: of each group the least id, and of rows that repeat an id one text."""
     sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(i):
@@ -27,12 +27,16 @@ def plain(rows):
             if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
                 root[find(i)] = find(j)
     least, out = {}, []
-    for i, (d, _) in enumerate(rows):
+    for i, (d, t) in enumerate(rows):
         if d is None:
-            out.append(d)
-        elif find(i) not in least or d < least[find(i)]:
-            least[find(i)] = d
-    return sorted([*out, *least.values()], key=repr)
+            out.append((d, t))
+        elif find(i) not in least or d < least[find(i)][0]:
+            least[find(i)] = (d, t)
+    return [*out, *least.values()]
+
+
+def plain(rows):
+    return sorted([d for d, _ in plain_kept(rows)], key=repr)
 
 
 def edited(text, n, seed):

@@ -1,6 +1,7 @@
 """BPE, token counts, licenses, URLs, sharding and the pipeline."""
 
 import base64
+import bisect
 import hashlib
 import math
 import os
@@ -18,7 +19,7 @@ import corpus_pipeline
 from lodestone.llm import bpe, licenses, sharding, tokens, urls
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-import test_near
+import test_near_copies
 import test_spans
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -26,13 +27,37 @@ ENCODING = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable
 STRANGE = ["", " ", "<|endoftext|> it's  we'll\n\n x", "a\u0085b\u00a0c\u2003d\u180ee", "ﷺ漢字😀👩‍👩‍👧 e\u0301", "x" * 5000, "\x00\x01\x7f", "12 345\t\t6", "ﬀ\ufffd\U0010ffff"]
 
 
+def plain_offsets(text, ids):
+    """Start and end of each token in characters, from the bytes before it."""
+    out, place, data = [], 0, text.encode()
+    pieces = {i: p for p, i in RANKS.items()}
+    ends = [0]  # the byte where each character ends
+    for c in text:
+        ends.append(ends[-1] + len(c.encode()))
+    for i in ids:
+        a, b = place, place + len(pieces[i])
+        start = bisect.bisect_right(ends, a) - 1
+        out.append((start, bisect.bisect_left(ends, b)))
+        place = b
+    assert place == len(data)
+    return out
+
+
+def digests_of(text, ids):
+    pack = lambda xs: hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in xs)).hexdigest()
+    return pack(ids), hashlib.sha256(text.encode()).hexdigest(), pack(x for pair in plain_offsets(text, ids) for x in pair)
+
+
 def test_bpe(spark):
     rows = samples.texts() + [(50 + k, t) for k, t in enumerate(STRANGE)]
     want = []
     for i, t in rows:
         ids = ENCODING.encode_ordinary(t or "")
-        want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert samples.got(bpe.digests(samples.frame(spark, rows)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+        want.append((i, len(ids), *digests_of(t or "", ids)))
+    found = bpe.digests(samples.frame(spark, rows), keep=True)
+    assert samples.got(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256") == sorted(want, key=repr)
+    for r in found.collect():
+        assert len(r.ids) == len(r.starts) == len(r.ends) == r.n_tokens
     assert bpe.digests(samples.frame(spark, [])).collect() == []
 
 
@@ -43,7 +68,7 @@ def test_ranks_and_vocabulary_are_the_same():
 def test_every_code_point_splits_alike():
     texts = ["".join(f"a{chr(c)}b 1{chr(c)} !{chr(c)}  {chr(c)}\n" for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 512)]
     for text, ids in bpe.encoded(pa.array(texts)):
-        assert ids == ENCODING.encode_ordinary(text)
+        assert ids.tolist() == ENCODING.encode_ordinary(text)
 
 
 def test_offsets_and_decoding(spark):
@@ -180,8 +205,7 @@ def test_pipeline(spark, tmp_path, rows):
     spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = [(i, t) for i, t in rows if (q := test_spans.plain_quality(t))[0] >= 20 and 100 * q[4] <= 30 * q[0] and 100 * q[5] <= 30 * q[1] and q[6] <= 250]
-    groups = test_near.plain_components([(i, test_near.plain_print(t)) for i, t in kept])
-    kept = [(i, t) for (i, t), c in zip(kept, groups, strict=True) if i is None or i == c]
+    kept = test_near_copies.plain_kept(kept)
     dirty = {(r[0], n) for n, (i, t) in enumerate(kept) for r in test_spans.plain_overlaps([(i, t)], items) if r[5]}
     kept = [(i, t) for n, (i, t) in enumerate(kept) if (i, n) not in dirty]
     want = []
@@ -193,7 +217,7 @@ def test_pipeline(spark, tmp_path, rows):
             at = max(at, b)
         out += t[at:]
         ids = ENCODING.encode_ordinary(out)
-        want.append((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(out.encode()).hexdigest()))
-    assert samples.got(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+        want.append((i, len(ids), *digests_of(out, ids), ids))
+    assert samples.got(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "ids") == sorted(want, key=repr)
     if rows:
         assert dirty and 80 not in {r[0] for r in want} and 61 in {r[0] for r in want}
