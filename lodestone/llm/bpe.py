@@ -131,7 +131,7 @@ def with_text(rows: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 
 def digests(docs: DataFrame, name: str = VOCABULARY, keep: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256), a row for each row of docs; keep: with ids, starts and ends.
+    """docs (doc_id, text, ...) -> (doc_id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256), a row for each row of docs; keep: with the ids.
 
     The last is over the start and end of each token in characters, little-endian unsigned 32-bit integers, pair by pair. Null and empty texts have no tokens. Strings of special tokens in a text are ordinary text. Nothing is grouped, so
     repeated rows and null ids are encoded each for itself. Other columns are ignored. No rows: no rows.
@@ -144,12 +144,11 @@ def digests(docs: DataFrame, name: str = VOCABULARY, keep: bool = False) -> Data
         counts = np.array([len(ids) for ids, _ in found])
         out = [pa.array(counts, pa.int64()), *[pa.array(x, pa.string()) for x in ([said(i.tobytes()) for i, _ in found], [said(decoded_bytes(i, name)) for i, _ in found], [said(o.tobytes()) for _, o in found])]]
         if keep:
-            at = np.concatenate([o for _, o in found]).astype(np.int32)
-            out += [list_array(counts, pa.array(x)) for x in (np.concatenate([i for i, _ in found]).astype(np.int32), at[:, 0], at[:, 1])]
+            out.append(list_array(counts, pa.array(np.concatenate([i for i, _ in found]).astype(np.int32))))
         yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["row", *names])
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", *(["ids", "starts", "ends"] if keep else [])]
-    kinds = [T.LongType(), *[T.StringType()] * 3, *[T.ArrayType(T.IntegerType())] * 3]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", *(["ids"] if keep else [])]
+    kinds = [T.LongType(), *[T.StringType()] * 3, T.ArrayType(T.IntegerType())]
     rows = own.select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text"))
     return arrow_pass(rows, run, with_row(rows, *zip(names, kinds, strict=False))).select("row.doc_id", *names)
 

@@ -135,10 +135,10 @@ def text_key(text: bytes) -> int:
 def bloom(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     """A Bloom filter of two bits a value over a bigint column of well mixed hashes; df is a scratch table.
 
-    8 to 16 bits a value within the bounds above. A filter that is too full lets more pass and still drops nothing: what passes
+    16 to 32 bits a value within the bounds above. A filter that is too full lets more pass and still drops nothing: what passes
     is joined exactly. Bits are gathered in pages of 4 KB by a native, partially aggregated sum; the driver receives bits / 8 bytes at most.
     """
-    bits = bits or min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (8 * df.count()).bit_length()))
+    bits = bits or min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * df.count()).bit_length()))
     h = F.col(column)
     place = F.explode(F.array(h.bitwiseAND(bits - 1) + 1, F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1) + 1))
     pages = (

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, pick
@@ -35,7 +35,7 @@ ROUNDS = (2, 6, KEYS)
 #: Bits in which fingerprints of near copies may differ: five standard deviations over the mean at the similarity.
 DIFFERING = 24
 #: Most nodes, and shingles, of a part of a group that one task compares with another part.
-PART_NODES, PART_SHINGLES = 2048, 1 << 21
+PART_NODES, PART_SHINGLES = 2048, 1 << 20
 _ODD = (np.random.RandomState(20240611).randint(1, 1 << 62, KEYS * LEAST).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -84,7 +84,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(text_key, text) -> (text_key, shingles) of the texts that the filter may want, each once a batch."""
+    """(row_key, text) -> (row_key, shingles) of the rows that the filter may want, repeated ones once a batch."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).to_numpy()
@@ -93,10 +93,10 @@ def sets_of(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
         if len(own):
             some, at = batch.column(1).take(pa.array(own)), 0
             for counts, h in shingle_sets(some):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own[at : at + len(counts)]]), list_array(counts, pa.array(h.view(np.int64)))], ["text_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[own[at : at + len(counts)]]), list_array(counts, pa.array(h.view(np.int64)))], ["row_key", "shingles"])
                 at += len(counts)
 
-    return arrow_pass(texts, run, "text_key bigint, shingles array<bigint>").dropDuplicates(["text_key"])
+    return arrow_pass(texts, run, "row_key bigint, shingles array<bigint>").dropDuplicates(["row_key"])
 
 
 def joined(node: np.ndarray, root: np.ndarray, fp: np.ndarray, counts: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -165,20 +165,26 @@ def links_pass(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "u bigint, v bigint")
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", "text_key").alias("row_key")
+
+
 def groups(nodes: DataFrame, lo: int, hi: int) -> DataFrame:
     """(key, node, text_key, root, fp): what meets under the keys lo..hi and isn't connected yet, in parts that a task can hold."""
-    live = nodes.where("n > 0").select("node", "text_key", "root", "fp", "n", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
+    live = nodes.where("n > 0").select("node", "row_key", "root", "fp", "n", F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
     some = live.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("who"))
     some = some.where("a <> b").groupBy("who", "m", "size").agg(F.min("key").alias("key"))  # groups of the same nodes are one
     parts = F.ceil(F.greatest(F.col("m") / PART_NODES, F.col("size") / PART_SHINGLES)).cast("int")
     met = live.join(some.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = "if(parts = 1, array(key), transform(sequence(0, parts - 1), j -> xxhash64(key, least(own, j), greatest(own, j))))"
-    return met.select(F.explode(F.expr(dealt)).alias("key"), "node", "text_key", "root", "fp", "n")
+    return met.select(F.explode(F.expr(dealt)).alias("key"), "node", "row_key", "root", "fp", "n")
 
 
 def components(texts: DataFrame, facts: DataFrame, scratch: Scratch, last: Scratch) -> DataFrame:
-    """(node, root) of the nodes that have a near copy; texts (text_key, text)."""
-    nodes = facts.groupBy("node").agg(F.min(F.struct("text_key", "n", "fp", "keys")).alias("x")).select("node", "x.*")
+    """(node, root) of the nodes that have a near copy; texts (row_key, text), of which one row stands for each node."""
+    one = F.min(F.struct(row_key(), "n", "fp", "keys"))
+    nodes = facts.groupBy("node").agg(one.alias("x")).select("node", "x.*")
     nodes = scratch.write(nodes, "nodes")
     roots, links = None, None
     for k, (lo, hi) in enumerate(zip((0, *ROUNDS), ROUNDS, strict=False)):
@@ -187,9 +193,9 @@ def components(texts: DataFrame, facts: DataFrame, scratch: Scratch, last: Scrat
         rows, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not rows:
             continue
-        sets = sets_of(texts, bloom(members, "text_key"))
+        sets = sets_of(texts, bloom(members, "row_key"))
         tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles * 8 >> 25)
-        met = members.drop("n").join(sets, "text_key").select("key", "node", "root", "fp", "shingles")
+        met = members.drop("n").join(sets, "row_key").select("key", "node", "root", "fp", "shingles")
         found = links_pass(met.repartition(tasks, "key").sortWithinPartitions("key"))
         new = scratch.write(found.distinct(), f"links{k}")
         scratch.drop(f"members{k}")
@@ -214,7 +220,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch, last = Scratch(spark, "near-copies"), Scratch(spark, "near-copies-components")
     own = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     facts = scratch.write(described(own.select("doc_id", "text_key", "text")), "facts")
-    roots = components(own.select("text_key", "text"), facts, scratch, last)
+    roots = components(own.select(row_key(), "text"), facts, scratch, last)
     rows = facts.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     rows = scratch.write(rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times")), "rows")
     least = rows.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))

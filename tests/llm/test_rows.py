@@ -57,7 +57,7 @@ def test_bpe(spark):
     found = bpe.digests(samples.frame(spark, rows), keep=True)
     assert samples.got(found, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256") == sorted(want, key=repr)
     for r in found.collect():
-        assert len(r.ids) == len(r.starts) == len(r.ends) == r.n_tokens
+        assert len(r.ids) == r.n_tokens
     assert bpe.digests(samples.frame(spark, [])).collect() == []
 
 
