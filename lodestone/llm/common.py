@@ -9,7 +9,7 @@ from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,10 @@ def with_row(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([df.schema["row"], *[T.StructField(n, t) for n, t in fields]])
 
 
+def kind_of(df: DataFrame, column: str = "doc_id") -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def text_key(text: bytes) -> int:
     """Tells apart texts under one doc_id."""
     import xxhash
@@ -158,6 +162,11 @@ def bloom_has(bloomed: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def list_array(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     """values in lists of counts elements each."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)

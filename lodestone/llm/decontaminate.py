@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, packed, pick, spread, table, text_key, unpacked, with_row
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, kind_of, list_array, packed, pick, spread, table, text_key, unpacked, with_row
 from lodestone.llm.substring import union_pass
 from lodestone.llm.words import LOWER, NOT_ALNUM, Block, blocks, sliding_argmin, windows
 
@@ -73,7 +73,7 @@ def candidates(docs: DataFrame, lengths: list[int], prints: np.ndarray) -> DataF
             keys = pa.array([text_key(b.text(d)) for d in range(b.hi - b.lo)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), keys, pa.array(b.counts.astype(np.int64)), list_array(np.bincount(doc[at], minlength=b.hi - b.lo), found)], ["doc_id", "text_key", "n_words", "found"])
 
-    return arrow_pass(docs, run, "doc_id bigint, text_key bigint, n_words bigint, found array<struct<start:int,len:int,words:string>>")
+    return arrow_pass(docs, run, f"doc_id {kind_of(docs)}, text_key bigint, n_words bigint, found array<struct<start:int,len:int,words:string>>")
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -85,7 +85,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int
     count once. Rows that repeat a doc_id are told apart by their text. Other columns are ignored. No items: all clean.
     """
     scratch = Scratch(spark, "decontaminate")
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    own = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string"))
     tests = scratch.write(item_windows(pick(items, "item_id", "text").select(F.col("item_id").cast("string"), F.col("text").cast("string")), window), "items")
     lengths = sorted(r.len for r in tests.select("len").distinct().collect())  # of 1 to `window`
     facts = scratch.write(candidates(own, lengths, bloom(tests, "print")), "facts")
@@ -110,7 +110,7 @@ def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that share no window with an item."""
+    """The rows of docs that share no window with an item, with all their columns. Rows are told apart by their text; null texts share nothing."""
     scratch = Scratch(spark, "clean")
     bad = overlaps(spark, docs, items).where("contaminated").select("text_key").distinct()
     bad = scratch.write(bad, "bad")

@@ -25,8 +25,11 @@ SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat"]
 
 
-def longest_repeats(words: np.ndarray, doc: np.ndarray, least: int = REPEAT) -> np.ndarray:
-    """For each word the length of the longest substring that starts there and occurs again in its text, if `least` words or more, else 0."""
+def longest_repeats(words: np.ndarray, doc: np.ndarray, least: int = REPEAT, most: int = LONGEST + 1) -> np.ndarray:
+    """For each word the length of the longest substring that starts there and occurs again in its text, if `least` words or more, else 0; `most` stands for any longer one.
+
+    Suffixes are told apart up to the first power of two from `most` on, so as many levels of ranks are held as that power has bits, whatever the text.
+    """
     n, out = len(words), np.zeros(len(words), np.int64)
     if not n:
         return out
@@ -35,16 +38,16 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray, least: int = REPEAT) ->
     order = np.argsort(key)
     key = key[order]
     active, head = ranked(key, order, np.zeros(n, np.int64))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = head
     levels, h = [rank], 1
     # Ranks by the first h words. Only suffixes that share them with another are sorted on.
-    while len(active):
+    while len(active) and h < most:
         after = active + h
         ok = after < n
         ok[ok] = doc[after[ok]] == doc[active[ok]]
         second = np.where(ok, rank[np.minimum(after, n - 1)] + 1, 0)
-        base = rank[active]
+        base = rank[active].astype(np.int64)
         o = np.lexsort((second, base))
         active, base, second = active[o], base[o], second[o]
         rank = rank.copy()
@@ -53,8 +56,7 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray, least: int = REPEAT) ->
         rank[old] = head
         levels.append(rank)
         h *= 2
-    array = np.empty(n, np.int64)
-    array[rank] = np.arange(n)
+    array = np.argsort(rank, kind="stable")
     a, b = array[:-1], array[1:]
     top = max(0, (least - 1).bit_length() - (least & (least - 1) != 0))
     if top >= len(levels):
@@ -65,6 +67,7 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray, least: int = REPEAT) ->
         x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
         common += (1 << k) * ((levels[k][x] == levels[k][y]) & (a + common < n) & (b + common < n) & (x != y))
     common[common < least] = 0
+    np.minimum(common, most, out=common)
     np.maximum.at(out, a, common)
     np.maximum.at(out, b, common)
     return out
@@ -123,7 +126,7 @@ KEPT = f"(not {BASE_FAILED} and 100 * covered_chars <= {MOST_COVERED} * word_cha
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, COUNTS, base_failed, kept), a row for each row of docs.
+    """docs (doc_id, text, ...) -> (doc_id, COUNTS, base_failed, kept), a row for each row of docs. longest_repeat is LONGEST + 1 if a repeat is longer than LONGEST words.
 
     Null and empty texts have no words and fail. Nothing is grouped, so repeated rows and null ids are judged each for
     itself. Other columns are ignored. No rows: no rows.

@@ -17,31 +17,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pick, table
+from lodestone.llm.common import let, pick, table
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regular expression that Java and Python read alike. checked: a group that must have `least` characters, and how many; failing matches are dropped after matching."""
+    """pattern: a regular expression that Java and Python read alike. checked: a group that must have `least` characters, and how many; failing matches are dropped after matching. scan: a pattern whose matches are just those that pass."""
 
     kind: str
     pattern: str
     checked: int = 0
     least: int = 0
+    scan: str = ""
 
 
 #: Fixed values of the contract.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12,}"),  # a run that fails from its first AKIA on fails from any later one
+    Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32,}"),
 )
-#: Published shapes of other secrets.
+#: Published shapes of other secrets, without upper bounds: a longer run is taken whole, so that nothing of a key is left behind.
 ADDED = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{24,247}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{24,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
 )
@@ -141,24 +142,14 @@ def candidate(rule: Rule, grams: list[str]) -> Column:
 
     query = trigram_query(rule.pattern)
     if not query:
-        return F.col("text").rlike(re_least(rule))
+        return F.col("text").rlike(rule.scan or rule.pattern)
     return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [has(x) for x in any_of]) for any_of in query])
 
 
-def re_least(rule: Rule) -> str:
-    """A pattern that is in every text with a match that isn't dropped: a single repeat is scanned for at its least length."""
-    return rule.pattern[:-1] + f"{{{rule.least}}}" if rule.checked == 0 and rule.least and rule.pattern[0] == "[" and rule.pattern.endswith("]+") else rule.pattern
-
-
 #: Elements that are folded into one array at once: appending copies the array, so long ones are folded chunk by chunk and put together once.
 CHUNK = 32
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def chunked(items: Column) -> Column:
     """The array cut into arrays of CHUNK elements; an empty one is a single empty chunk."""
     last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
@@ -188,7 +179,7 @@ def matches(rule: Rule, order: int) -> Column:
     Each match is extracted with the gap before it, so that the lengths so far give its place. \G ties a gap to the
     end of the match before, which keeps the work in proportion to the text.
     """
-    whole = F.lit(rf"\G(?s:(.*?))({rule.pattern})")
+    whole = F.lit(rf"\G(?s:(.*?))({rule.scan or rule.pattern})")
     lengths = lambda g: F.transform(F.regexp_extract_all("text", whole, F.lit(g)), F.length)
     parts = F.arrays_zip(lengths(1).alias("gap"), lengths(2).alias("own"), lengths(2 + rule.checked).alias("checked"))
     span = lambda a, p: F.struct((a + p["gap"]).alias("start"), F.lit(order).alias("kind"), (a + p["gap"] + p["own"]).alias("end"))

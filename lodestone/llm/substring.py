@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, pick, spread, table, text_key, with_row
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, kind_of, list_array, pick, spread, table, text_key, with_row
 from lodestone.llm.words import Block, blocks, mix, sliding_argmin, span_hash, windows
 
 WINDOW, SEED = 50, 8
@@ -61,7 +61,7 @@ def seeds_pass(docs: DataFrame, window: int, seed: int) -> DataFrame:
             found = list_array(np.bincount(doc, minlength=b.hi - b.lo), found)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(keys, pa.int64()), pa.array(b.counts.astype(np.int64)), pa.array(shas, pa.string()), found], ["doc_id", "text_key", "n_words", "sha", "found"])
 
-    return arrow_pass(docs, run, f"doc_id bigint, text_key bigint, n_words bigint, sha string, found {OCCURRENCE}")
+    return arrow_pass(docs, run, f"doc_id {kind_of(docs)}, text_key bigint, n_words bigint, sha string, found {OCCURRENCE}")
 
 
 def split(b: Block, d: int) -> list[bytes]:
@@ -85,7 +85,7 @@ def windows_pass(docs: DataFrame, open_seeds: np.ndarray, window: int, seed: int
             ids = batch.column(0).slice(b.lo, b.hi - b.lo).take(pa.array(doc[own]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(s[own]), pa.array(left[own].astype(np.int32)), pa.array(n_own.astype(np.int32)), pa.array(extent[own]), list_array(n_own, pa.array(hashes))], ["doc_id", *CLASS, "hashes"])
 
-    return arrow_pass(docs, run, "doc_id bigint, seed bigint, left int, n int, extent bigint, hashes array<bigint>")
+    return arrow_pass(docs, run, f"doc_id {kind_of(docs)}, seed bigint, left int, n int, extent bigint, hashes array<bigint>")
 
 
 def shared_pass(wide: DataFrame, shared: np.ndarray) -> DataFrame:
@@ -100,7 +100,7 @@ def shared_pass(wide: DataFrame, shared: np.ndarray) -> DataFrame:
             rows = pa.array(of[own])
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(rows) for i in range(len(CLASS) + 1)], pa.array(k), each.take(pa.array(own))], [*CLASS, "owner", "k", "hash"])
 
-    return arrow_pass(wide.select(*CLASS, "owner", "hashes"), run, "seed bigint, left int, n int, extent bigint, owner bigint, k int, hash bigint")
+    return arrow_pass(wide.select(*CLASS, "owner", "hashes"), run, f"seed bigint, left int, n int, extent bigint, owner {kind_of(wide, 'owner')}, k int, hash bigint")
 
 
 def settled_pass(facts: DataFrame, settled: np.ndarray) -> DataFrame:
@@ -115,7 +115,7 @@ def settled_pass(facts: DataFrame, settled: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), *[each.field(c) for c in (*CLASS, "at")]], ["doc_id", "text_key", *CLASS, "at"])
 
     known = facts.where("doc_id is not null").select("doc_id", "text_key", "found")
-    return arrow_pass(known, run, "doc_id bigint, text_key bigint, seed bigint, left int, n int, extent bigint, at int")
+    return arrow_pass(known, run, f"doc_id {kind_of(known)}, text_key bigint, seed bigint, left int, n int, extent bigint, at int")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +160,7 @@ def union_pass(runs: DataFrame) -> DataFrame:
         spans = pa.StructArray.from_arrays([pa.array((x[i] - above[i]).astype(np.int32)) for x, i in ((start, first), (reach, last))], ["start", "end"])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(np.bincount(of[first], minlength=batch.num_rows), spans)], ["doc_id", "text_key", "spans"])
 
-    return arrow_pass(runs.select("doc_id", "text_key", "runs"), run, "doc_id bigint, text_key bigint, spans array<struct<start:int,end:int>>")
+    return arrow_pass(runs.select("doc_id", "text_key", "runs"), run, f"doc_id {kind_of(runs)}, text_key bigint, spans array<struct<start:int,end:int>>")
 
 
 def cut_pass(texts: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def keyed_pass(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         if len(own):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(keys).take(own), texts.take(own)], ["doc_id", "text_key", "text"])
 
-    return arrow_pass(docs, run, "doc_id bigint, text_key bigint, text string")
+    return arrow_pass(docs, run, f"doc_id {kind_of(docs)}, text_key bigint, text string")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Null and empty texts have no words; texts under 50 words lose none. A null doc_id neither owns nor loses words.
     Rows that share a doc_id don't take words from each other; repeated rows give repeated results. Other columns are ignored.
     """
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    own = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string"))
     facts, spans = repeats(spark, own)
     texts = keyed_pass(own.where("doc_id is not null"), bloom(spans, "text_key")).join(spans, ["doc_id", "text_key"])
     cut = cut_pass(texts.select(F.struct("doc_id", "text_key").alias("row"), "text", "spans"))

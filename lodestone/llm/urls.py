@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import arrow_pass, pick, table
 
 TOKEN = r"[a-z0-9]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans(UPPER, LOWER)  # letters of other alphabets that lower-case to these are no part of a token
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class Rule:
     def tokens(self) -> list[str]:
         """Those bounded on both sides: at the open ends of the pattern and beside `*` a run may go on in the URL."""
         found, body, anchored = [], self.name, self.pattern.startswith("||")
-        for m in re.finditer(TOKEN, body.lower()):
+        for m in re.finditer(TOKEN, body.translate(_LOWERED)):
             left = body[m.start() - 1] != "*" if m.start() else anchored
             right = m.end() < len(body) and body[m.end()] != "*"
             if left and right:
@@ -66,20 +68,29 @@ def parts(url: str | None) -> tuple[str, str, str]:
         return "", "", ""
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path, rest[len(host) + len(path) :]
+    return host.translate(_LOWERED), path, rest[len(host) + len(path) :]
 
 
 def filed(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
     """Rules by the token that the fewest URLs of the table have; those without one under the empty string. As many counts as tokens of rules reach the driver."""
     words = sorted({t for r in rules for t in r.tokens()})
-    each = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit(TOKEN), F.lit(0)))).alias("token"))
+    each = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate("url", UPPER, LOWER), F.lit(TOKEN), F.lit(0)))).alias("token"))
     seen = {r["token"]: r["count"] for r in each.where(F.col("token").isin(words)).groupBy("token").count().collect()}
+    return by_rarest(rules, seen)
+
+
+def by_rarest(rules: tuple[Rule, ...], seen: dict[str, int]) -> dict[str, list[Rule]]:
     out: dict[str, list[Rule]] = {}
     for r in rules:
         out.setdefault(min(r.tokens(), key=lambda t: (seen.get(t, 0), t), default=""), []).append(r)
     return out
 
 
+def fetched(url: str, by_token: dict[str, list[Rule]]) -> set[Rule]:
+    """The rules that the url's tokens bring, and those without a token."""
+    return {r for t in {*re.findall(TOKEN, url.translate(_LOWERED)), ""} for r in by_token.get(t, ())}
+
+
 def judged(pages: DataFrame, listed: tuple[Rule, ...] = LISTED, general: tuple[Rule, ...] = GENERAL) -> DataFrame:
     """pages (page_id, url, ...) -> (page_id, host, path, rule, verdict), a row for each row of pages.
 
@@ -98,8 +109,7 @@ def judged(pages: DataFrame, listed: tuple[Rule, ...] = LISTED, general: tuple[R
             if not host:
                 out.append((host, path, None, "allow"))
                 continue
-            fetched = {r for t in {*re.findall(TOKEN, (host + path + rest).lower()), ""} for r in by_token.get(t, ())}
-            fits = [r for r in sorted(fetched, key=rank.__getitem__) if r.regex.search(host + path if r in listed else host + path + rest)]
+            fits = [r for r in sorted(fetched(host + path + rest, by_token), key=rank.__getitem__) if r.regex.search(host + path if r in listed else host + path + rest)]
             best = fits[0] if fits else None
             out.append((host, path, best.name if best in listed else None, best.action if best else "allow"))
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in zip(*out, strict=True)]], ["page_id", "host", "path", "rule", "verdict"])

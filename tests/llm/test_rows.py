@@ -162,6 +162,22 @@ def test_url_index_finds_what_trying_all_rules_finds(spark):
             assert key in r.tokens() or not r.tokens()
 
 
+def test_index_of_many_rules():
+    """10,000 rules and URLs over a small alphabet: what the index fetches fits just where trying all does."""
+    rnd = random.Random(12)
+    some = ["login", "ads", "a", "b1", "x", "ADS", "k", "\u212a", "\u017f", "login\u212a", "7"]
+    join = lambda signs, n: "".join(rnd.choice(some) + rnd.choice(signs) for _ in range(n))
+    rules = tuple(dict.fromkeys(urls.Rule("block", rnd.choice(["||", "", "/", "*", "."]) + join("./-_%^*", rnd.randint(1, 4)) + rnd.choice(["", "^", "*", "q"])) for _ in range(10_000)))
+    seen = {t: rnd.randrange(1000) for r in rules for t in r.tokens()}
+    by, fits = urls.by_rarest(rules, seen), 0
+    for _ in range(150):
+        host, path, rest = urls.parts("http://" + join(".", 2) + "com" + rnd.choice(["", "/" + join("./-_%?#", 4), "/x" + join("/-", 2)]))
+        want = {r for r in rules if r.regex.search(host + path + rest)}
+        assert {r for r in urls.fetched(host + path + rest, by) if r.regex.search(host + path + rest)} == want
+        fits += len(want)
+    assert fits > 1000
+
+
 def test_shards(spark):
     rows = samples.texts() + [(1000 + k, "t") for k in range(3000)] + [(1000, "t")] * 500
     found = sharding.placed(spark, samples.frame(spark, rows), sharding.tree(24), sharding.tree(25)).collect()
