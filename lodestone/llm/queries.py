@@ -18,4 +18,5 @@ ORACLE_SQL = {
     "op7_url_filter": urls.OP7_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
+    "op10_shard": sharding.OP10_SQL,
 }
