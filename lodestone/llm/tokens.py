@@ -1,4 +1,4 @@
-"""Token counts that follow edits.
+"""Token counts that follow edits, by trees that are kept with the documents.
 
 A text's pre-tokens stand in the leaves of a segment tree that sums characters and tokens. An edit descends by
 characters to the leaves it touches, splits the text anew from a little before it, only until a boundary falls on one
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
+from lodestone.llm.common import arrow_pass, list_array, pick, spread, table, with_row
 
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 64
@@ -63,19 +63,27 @@ def counts(name: str) -> Counts:
 
 
 class TokenTree:
-    """Nodes are numbered as in a heap: node k sums nodes 2k and 2k+1; leaf i is node size + i."""
+    """Nodes are numbered as in a heap: node k sums nodes 2k and 2k+1; leaf i is node size + i and holds pre-tokens with their tokens."""
 
-    def __init__(self, text: str, count: Counts):
+    def __init__(self, text: str, count: Counts, chars: np.ndarray | None = None, tokens: np.ndarray | None = None):
+        """From a text; with the characters and tokens of its pre-tokens, as `stored` has them, nothing is split or counted."""
         self.count = count
-        self.build(splitter().findall(text))
+        if chars is None:
+            pieces = splitter().findall(text)
+            each = list(map(count.__getitem__, pieces))
+        else:
+            ends = np.cumsum(chars).tolist()
+            pieces, each = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)], tokens.tolist()
+        self.build(pieces, each)
 
-    def build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+    def build(self, pieces: list[str], each: list[int]) -> None:
+        cut = range(0, len(pieces), LEAF)
+        self.leaves, self.each = [pieces[i : i + LEAF] for i in cut] or [[]], [each[i : i + LEAF] for i in cut] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
         if pieces:
-            each = np.array([list(map(len, pieces)), list(map(self.count.__getitem__, pieces))], np.int64)
-            self.sums[self.size : self.size + len(self.leaves)] = np.add.reduceat(each, np.arange(0, len(pieces), LEAF), axis=1).T
+            both = np.array([list(map(len, pieces)), each], np.int64)
+            self.sums[self.size : self.size + len(self.leaves)] = np.add.reduceat(both, np.arange(0, len(pieces), LEAF), axis=1).T
         level = self.size
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
@@ -92,6 +100,10 @@ class TokenTree:
     def text(self) -> str:
         return "".join(p for leaf in self.leaves for p in leaf)
 
+    def stored(self) -> tuple[list[int], list[int]]:
+        """The characters and the tokens of each pre-token: what the tree can be built from again."""
+        return [len(p) for leaf in self.leaves for p in leaf], [n for leaf in self.each for n in leaf]
+
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character, and where the leaf begins; beyond the end the last leaf with any."""
         place, k, begin = max(0, min(place, self.chars - 1)), 1, 0
@@ -102,10 +114,10 @@ class TokenTree:
                 k += 1
         return k - self.size, begin
 
-    def update(self, leaf: int, pieces: list[str]) -> None:
-        self.leaves[leaf] = pieces
+    def update(self, leaf: int, pieces: list[str], each: list[int]) -> None:
+        self.leaves[leaf], self.each[leaf] = pieces, each
         k = self.size + leaf
-        change = np.array([sum(map(len, pieces)), sum(map(self.count.__getitem__, pieces))]) - self.sums[k]
+        change = np.array([sum(map(len, pieces)), sum(each)]) - self.sums[k]
         while k:
             self.sums[k] += change
             k //= 2
@@ -115,20 +127,25 @@ class TokenTree:
         start = max(0, min(start, self.chars))
         end = max(start, min(end, self.chars))
         first, begin = self.leaf_at(start - BEYOND - 1)
-        kept: list[str] = []
-        at = begin
+        stays, at = 0, begin
         for p in self.leaves[first]:
             if at + len(p) + BEYOND > start:
                 break
-            kept.append(p)
+            stays += 1
             at += len(p)
         # Old pieces from `at` on, leaf by leaf as far as needed, and where they end.
-        last, old, stop = first, self.leaves[first][len(kept) :], begin + sum(map(len, self.leaves[first]))
-        while True:
-            while last + 1 < len(self.leaves) and stop < end + BEYOND + 1:
+        last, old, counts, stop = first, self.leaves[first][stays:], self.each[first][stays:], begin + sum(map(len, self.leaves[first]))
+
+        def further(until: int) -> None:
+            nonlocal last, stop
+            while last + 1 < len(self.leaves) and stop < until:
                 last += 1
-                old += self.leaves[last]
+                old.extend(self.leaves[last])
+                counts.extend(self.each[last])
                 stop += sum(map(len, self.leaves[last]))
+
+        while True:
+            further(end + BEYOND + 1)
             whole = last + 1 == len(self.leaves)
             text = "".join(old)
             text = text[: start - at] + new + text[end - at :]
@@ -145,52 +162,80 @@ class TokenTree:
                 break
             if whole:
                 raise AssertionError("the pattern leaves no character out")
-            end_was = stop
-            while last + 1 < len(self.leaves) and stop <= end_was + LEAF:
-                last += 1
-                old += self.leaves[last]
-                stop += sum(map(len, self.leaves[last]))
-        rest = old[known[here] :] if here in known else []
-        merged = kept + pieces + rest
+            further(stop + LEAF + 1)
+        rest = known.get(here, len(old))
+        merged = self.leaves[first][:stays] + pieces + old[rest:]
+        each = self.each[first][:stays] + list(map(self.count.__getitem__, pieces)) + counts[rest:]
         if len(merged) > 4 * LEAF * (last - first + 1):
-            self.build([p for leaf in self.leaves[:first] for p in leaf] + merged + [p for leaf in self.leaves[last + 1 :] for p in leaf])
+            flat = lambda parts: [x for part in parts for x in part]
+            self.build(flat(self.leaves[:first]) + merged + flat(self.leaves[last + 1 :]), flat(self.each[:first]) + each + flat(self.each[last + 1 :]))
         else:
             share = -(-len(merged) // (last - first + 1)) or 1
             for i in range(first, last + 1):
-                self.update(i, merged[(i - first) * share : (i - first + 1) * share])
+                part = slice((i - first) * share, (i - first + 1) * share)
+                self.update(i, merged[part], each[part])
         return here
 
 
 EDITS = "array<struct<start:int,end:int,new:string>>"
+TREE = (("piece_chars", T.ArrayType(T.IntegerType())), ("piece_tokens", T.ArrayType(T.IntegerType())))
 
 
-def counted(rows: DataFrame, name: str = RANKS) -> DataFrame:
-    """(row, text, edits) -> (row, n_chars, n_tokens, n_edits, n_tokens_edited, n_recounted_chars).
+def packed_lists(lists: list[list[int]]) -> pa.ListArray:
+    return list_array(np.array([len(x) for x in lists]), pa.array([n for x in lists for n in x], pa.int32()))
 
-    Edits are made in order, each on what the ones before left; places beyond the text are taken as its end, a null
-    `new` as empty. Null and empty texts have no tokens; null edits are none.
-    """
+
+def trees(rows: DataFrame, name: str = RANKS) -> DataFrame:
+    """(row, text) -> (row, text, piece_chars, piece_tokens, n_chars, n_tokens): the tree of each text in a form that can be written, read and edited again. Null and empty texts have no pieces."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out = []
-        for text, edits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            tree = TokenTree(text.as_py() or "", counts(name))
-            n_chars, n_tokens = tree.chars, tree.tokens
-            anew = sum(tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in edits or () if e)
-            out.append((n_chars, n_tokens, len(edits or ()), tree.tokens, anew))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*out, strict=True)]], ["row", "n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted_chars"])
+        built = [TokenTree(t.as_py() or "", counts(name)) for t in batch.column(1)]
+        chars, tokens = zip(*(t.stored() for t in built), strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed_lists(chars), packed_lists(tokens), pa.array([t.chars for t in built], pa.int64()), pa.array([t.tokens for t in built], pa.int64())], ["row", "text", *(c for c, _ in TREE), "n_chars", "n_tokens"])
+
+    return arrow_pass(rows.select("row", "text"), run, with_row(rows, ("text", T.StringType()), *TREE, ("n_chars", T.LongType()), ("n_tokens", T.LongType())))
 
-    return arrow_pass(rows, run, with_row(rows, *[(c, T.LongType()) for c in ("n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted_chars")]))
+
+def edited(kept: DataFrame, name: str = RANKS) -> DataFrame:
+    """(row, text, piece_chars, piece_tokens, edits), trees that were kept -> the same of the edited texts, and n_chars, n_tokens, n_edits, n_recounted_chars.
+
+    No text is split or counted but around its edits. Edits are made in order, each on what the ones before left; places beyond the text are taken as its end, a null
+    `new` as empty, null edits as none. A null text becomes an empty one.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, chars, tokens, sums, anew, n = [], [], [], [], [], []
+        lists = [(c.fill_null([]) if c.null_count else c) for c in (batch.column(2), batch.column(3))]
+        for i, edits in enumerate(batch.column(4).to_pylist()):
+            tree = TokenTree(batch.column(1)[i].as_py() or "", counts(name), *(x[i].values.to_numpy() for x in lists))
+            anew.append(sum(tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in edits or () if e))
+            a, b = tree.stored()
+            texts.append(tree.text())
+            chars.append(a)
+            tokens.append(b)
+            sums.append((tree.chars, tree.tokens))
+            n.append(len(edits or ()))
+        whole = [pa.array(x, pa.int64()) for x in (*zip(*sums, strict=True), n, anew)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), packed_lists(chars), packed_lists(tokens), *whole], ["row", "text", *(c for c, _ in TREE), *names])
+
+    names = ["n_chars", "n_tokens", "n_edits", "n_recounted_chars"]
+    rows = kept.select("row", "text", *(c for c, _ in TREE), F.col("edits").cast(EDITS))
+    return arrow_pass(rows, run, with_row(rows, ("text", T.StringType()), *TREE, *((c, T.LongType()) for c in names)))
 
 
 def revised(docs: DataFrame, name: str = RANKS) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id and the counts before and after a revision of each text: a note put in after a quarter, twelve characters cut at the middle, five replaced at three quarters. A row for each row of docs; nothing is grouped; other columns are ignored."""
+    """docs (doc_id, text, ...) -> doc_id and the counts before and after a revision of each text: a note put in after a quarter, twelve characters cut at the middle, five replaced at three quarters.
+
+    A row for each row of docs; nothing is grouped, so repeated rows and null ids are counted each for itself; null and empty texts have no tokens before the
+    note; very long texts are counted whole; other columns are ignored; no rows: no rows.
+    """
     own = pick(docs, "doc_id", "text").select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text"))
-    n = "coalesce(length(text), 0)"
-    edits = F.expr(f"""array(struct(cast({n} div 4 as int) as start, cast({n} div 4 as int) as end, ' [editor''s note] ' as new),
-        struct(cast({n} div 2 as int) as start, cast({n} div 2 + 12 as int) as end, '' as new),
-        struct(cast({n} * 3L div 4 as int) as start, cast({n} * 3L div 4 + 5 as int) as end, 'reworded' as new))""")
-    return counted(own.select("row", "text", edits.cast(EDITS).alias("edits")), name).select("row.doc_id", "n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted_chars")
+    first = trees(own, name)
+    edits = F.expr("""array(struct(cast(n_chars div 4 as int) as start, cast(n_chars div 4 as int) as end, ' [editor''s note] ' as new),
+        struct(cast(n_chars div 2 as int) as start, cast(n_chars div 2 + 12 as int) as end, '' as new),
+        struct(cast(n_chars * 3 div 4 as int) as start, cast(n_chars * 3 div 4 + 5 as int) as end, 'reworded' as new))""")
+    kept = first.select(F.struct(F.col("row.doc_id").alias("doc_id"), "n_chars", "n_tokens").alias("row"), "text", *(c for c, _ in TREE), edits.alias("edits"))
+    return edited(kept, name).select("row.*", "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_recounted_chars")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

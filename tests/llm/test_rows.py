@@ -123,8 +123,27 @@ def test_token_counts(spark):
             edited = edited[:a] + new + edited[b:]
         assert (len(t), len(ENCODING.encode_ordinary(t)), 3, len(ENCODING.encode_ordinary(edited))) in [tuple(r)[1:5] for r in found[i]]
     assert tokens.revised(samples.frame(spark, [])).collect() == []
-    odd = spark.createDataFrame([("a b", None), (None, [(None, None, None), (5, 1, "x")])], "text string, edits " + tokens.EDITS).selectExpr("struct(1 as id) as row", "text", "edits")
-    assert sorted(tuple(r)[1:5] for r in tokens.counted(odd).collect()) == [(0, 0, 2, 1), (3, 2, 0, 2)]
+    odd = spark.createDataFrame([("a b", None), (None, [(None, None, None), (5, 1, "x")])], "text string, edits " + tokens.EDITS).selectExpr("struct(text, edits) as row", "text")
+    kept = tokens.trees(odd).select("*", "row.edits")
+    assert sorted((r.n_chars, r.n_tokens, r.n_edits, r.text) for r in tokens.edited(kept).collect()) == [(1, 1, 2, "x"), (3, 2, 0, "a b")]
+
+
+def test_kept_trees_are_edited_again(spark, tmp_path, monkeypatch):
+    """Trees written, read and edited twice; the second time no text may be split as a whole."""
+    rows = [(i, t) for i, t in samples.texts() if t]
+    own = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("struct(doc_id) as row", "text")
+    tokens.trees(own).write.parquet(str(tmp_path / "t0"))
+    want = [t for _, t in rows]
+    for k, (start, end, new) in enumerate([(10, 14, "some new words"), (40, 40, "x y'll "), (0, 3, "")]):
+        before = spark.read.parquet(str(tmp_path / f"t{k}"))
+        edits = f"array(struct({start} as start, {end} as end, {new!r} as new))" if "'" not in new else f'array(struct({start} as start, {end} as end, "{new}" as new))'
+        after = tokens.edited(before.selectExpr("row", "text", "piece_chars", "piece_tokens", f"{edits} as edits"))
+        after.write.parquet(str(tmp_path / f"t{k + 1}"))
+        want = [t[: min(start, len(t))] + new + t[max(start, min(end, len(t))) :] for t in want]
+        found = spark.read.parquet(str(tmp_path / f"t{k + 1}")).collect()
+        assert sorted((r.text, r.n_tokens) for r in found) == sorted((t, len(ENCODING.encode_ordinary(t))) for t in want)
+        assert all(sum(r.piece_chars) == len(r.text) and sum(r.piece_tokens) == r.n_tokens for r in found)
+        assert all(r.n_recounted_chars < 600 for r in found if max(r.piece_chars) < 100)
 
 
 def test_licenses(spark):
