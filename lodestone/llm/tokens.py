@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -181,19 +181,32 @@ EDITS = "array<struct<start:int,end:int,new:string>>"
 TREE = (("piece_chars", T.ArrayType(T.IntegerType())), ("piece_tokens", T.ArrayType(T.IntegerType())))
 
 
-def packed_lists(lists: list[list[int]]) -> pa.ListArray:
-    return list_array(np.array([len(x) for x in lists]), pa.array([n for x in lists for n in x], pa.int32()))
+def packed_lists(lists: Sequence[list[int]]) -> pa.ListArray:
+    return list_array(np.array([len(x) for x in lists]), pa.array(np.concatenate([np.array(x, np.int32) for x in lists])))
+
+
+#: Texts whose trees a task holds at once.
+AT_ONCE = 200
+
+
+def sliced(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    return lambda batch: (fn(batch.slice(i, AT_ONCE)) for i in range(0, batch.num_rows, AT_ONCE))
+
+
+def after(tree: TokenTree, edits: list[dict] | None) -> tuple[int, int]:
+    """Makes the edits; returns how many there are and how many characters were split and counted anew."""
+    return len(edits or ()), sum(tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in edits or () if e)
 
 
 def trees(rows: DataFrame, name: str = RANKS) -> DataFrame:
     """(row, text) -> (row, text, piece_chars, piece_tokens, n_chars, n_tokens): the tree of each text in a form that can be written, read and edited again. Null and empty texts have no pieces."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         built = [TokenTree(t.as_py() or "", counts(name)) for t in batch.column(1)]
         chars, tokens = zip(*(t.stored() for t in built), strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed_lists(chars), packed_lists(tokens), pa.array([t.chars for t in built], pa.int64()), pa.array([t.tokens for t in built], pa.int64())], ["row", "text", *(c for c, _ in TREE), "n_chars", "n_tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed_lists(chars), packed_lists(tokens), pa.array([t.chars for t in built], pa.int64()), pa.array([t.tokens for t in built], pa.int64())], ["row", "text", *(c for c, _ in TREE), "n_chars", "n_tokens"])
 
-    return arrow_pass(rows.select("row", "text"), run, with_row(rows, ("text", T.StringType()), *TREE, ("n_chars", T.LongType()), ("n_tokens", T.LongType())))
+    return arrow_pass(rows.select("row", "text"), sliced(run), with_row(rows, ("text", T.StringType()), *TREE, ("n_chars", T.LongType()), ("n_tokens", T.LongType())))
 
 
 def edited(kept: DataFrame, name: str = RANKS) -> DataFrame:
@@ -203,24 +216,37 @@ def edited(kept: DataFrame, name: str = RANKS) -> DataFrame:
     `new` as empty, null edits as none. A null text becomes an empty one.
     """
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, chars, tokens, sums, anew, n = [], [], [], [], [], []
-        lists = [(c.fill_null([]) if c.null_count else c) for c in (batch.column(2), batch.column(3))]
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, chars, tokens, sums = [], [], [], []
         for i, edits in enumerate(batch.column(4).to_pylist()):
-            tree = TokenTree(batch.column(1)[i].as_py() or "", counts(name), *(x[i].values.to_numpy() for x in lists))
-            anew.append(sum(tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "") for e in edits or () if e))
+            tree = TokenTree(batch.column(1)[i].as_py() or "", counts(name), *(batch.column(k)[i].values.to_numpy() for k in (2, 3)))
+            n, anew = after(tree, edits)
             a, b = tree.stored()
             texts.append(tree.text())
             chars.append(a)
             tokens.append(b)
-            sums.append((tree.chars, tree.tokens))
-            n.append(len(edits or ()))
-        whole = [pa.array(x, pa.int64()) for x in (*zip(*sums, strict=True), n, anew)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), packed_lists(chars), packed_lists(tokens), *whole], ["row", "text", *(c for c, _ in TREE), *names])
+            sums.append((tree.chars, tree.tokens, n, anew))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), packed_lists(chars), packed_lists(tokens), *[pa.array(x, pa.int64()) for x in zip(*sums, strict=True)]], ["row", "text", *(c for c, _ in TREE), *names])
 
     names = ["n_chars", "n_tokens", "n_edits", "n_recounted_chars"]
     rows = kept.select("row", "text", *(c for c, _ in TREE), F.col("edits").cast(EDITS))
-    return arrow_pass(rows, run, with_row(rows, ("text", T.StringType()), *TREE, *((c, T.LongType()) for c in names)))
+    return arrow_pass(rows, sliced(run), with_row(rows, ("text", T.StringType()), *TREE, *((c, T.LongType()) for c in names)))
+
+
+def counted(rows: DataFrame, name: str = RANKS) -> DataFrame:
+    """(row, text, edits) -> (row, n_chars, n_tokens, n_edits, n_tokens_edited, n_recounted_chars): trees that are built, edited and let go. Rules as for `edited`."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text, edits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            tree = TokenTree(text.as_py() or "", counts(name))
+            before = tree.chars, tree.tokens
+            n, anew = after(tree, edits)
+            out.append((*before, n, tree.tokens, anew))
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in zip(*out, strict=True)]], ["row", *names])
+
+    names = ["n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted_chars"]
+    return arrow_pass(rows, sliced(run), with_row(rows, *[(c, T.LongType()) for c in names]))
 
 
 def revised(docs: DataFrame, name: str = RANKS) -> DataFrame:
@@ -230,12 +256,11 @@ def revised(docs: DataFrame, name: str = RANKS) -> DataFrame:
     note; very long texts are counted whole; other columns are ignored; no rows: no rows.
     """
     own = pick(docs, "doc_id", "text").select(F.struct("doc_id").alias("row"), F.col("text").cast("string").alias("text"))
-    first = trees(own, name)
-    edits = F.expr("""array(struct(cast(n_chars div 4 as int) as start, cast(n_chars div 4 as int) as end, ' [editor''s note] ' as new),
-        struct(cast(n_chars div 2 as int) as start, cast(n_chars div 2 + 12 as int) as end, '' as new),
-        struct(cast(n_chars * 3 div 4 as int) as start, cast(n_chars * 3 div 4 + 5 as int) as end, 'reworded' as new))""")
-    kept = first.select(F.struct(F.col("row.doc_id").alias("doc_id"), "n_chars", "n_tokens").alias("row"), "text", *(c for c, _ in TREE), edits.alias("edits"))
-    return edited(kept, name).select("row.*", "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_recounted_chars")
+    n = "coalesce(length(text), 0)"
+    edits = F.expr(f"""array(struct(cast({n} div 4 as int) as start, cast({n} div 4 as int) as end, ' [editor''s note] ' as new),
+        struct(cast({n} div 2 as int) as start, cast({n} div 2 + 12 as int) as end, '' as new),
+        struct(cast({n} * 3L div 4 as int) as start, cast({n} * 3L div 4 + 5 as int) as end, 'reworded' as new))""")
+    return counted(own.select("row", "text", edits.cast(EDITS).alias("edits")), name).select("row.doc_id", "n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted_chars")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
