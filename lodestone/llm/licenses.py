@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_pass, pick, table, with_row
+from lodestone.llm.common import arrow_pass, pick, spread, table, with_row
 
 #: What may stand between two words: a notice may be wrapped, and each line prefixed as a comment.
 GAP = r"[\s#*/;%-]+"
@@ -245,4 +245,4 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices(table(spark, sf_dir, "documents"))
+    return notices(spread(table(spark, sf_dir, "documents")))

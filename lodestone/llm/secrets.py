@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let, pick, table
+from lodestone.llm.common import let, pick, spread, table
 
 
 @dataclass(frozen=True)
@@ -264,7 +264,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    return secrets(spread(table(spark, sf_dir, "documents")))
 
 
 def _oracle(rules: tuple[Rule, ...]) -> str:
