@@ -14,11 +14,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def session(spark: SparkSession, sf_dir: str, *names: str) -> Session:
-    """The tables as collections; `props` of events, JSON text, as a document of the type that is observed over all rows."""
+def session(spark: SparkSession, sf_dir: str, *names: str, observe: bool = False) -> Session:
+    """The tables as collections; `props` of events, JSON text, as a document: of the type that its users declare, or with observe of the one that a pass over all rows finds."""
     s = Session(spark)
     for name in names:
-        s.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), {"props": None} if name == "events" else None)
+        s.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), {"props": None if observe else "k bigint"} if name == "events" else None)
     return s
 
 
@@ -29,7 +29,9 @@ def named(*texts: str) -> list[str]:
 
 
 def dialect(sql: str, params: tuple = ()) -> Query:
-    return lambda spark, sf_dir: session(spark, sf_dir, *named(sql)).query(sql, params)
+    """A path with a wildcard or a star goes over whatever fields there are."""
+    observe = ".*" in sql
+    return lambda spark, sf_dir: session(spark, sf_dir, *named(sql), observe=observe).query(sql, params)
 
 
 def script(*statements: str, then: str) -> Query:

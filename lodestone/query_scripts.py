@@ -52,7 +52,7 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = session(spark, sf_dir, "events").schema("events")
+    found = session(spark, sf_dir, "events", observe=True).schema("events")
     return spark.createDataFrame([(x["path"], ",".join(x["types"]), x["count"], x["total"]) for x in found], "path string, types string, n bigint, total bigint")
 
 
@@ -84,6 +84,15 @@ def dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.query("SELECT id, k, r_name, (SELECT COUNT(*) FROM t) AS n FROM far LEFT JOIN region ON id = r_regionkey")
 
 
+def by_record_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark)
+    s.execute("INSERT INTO t VALUES (a='x'), (a='y'), (a='z')")
+    last = s.execute("INSERT INTO t VALUES (a='w')").last_insert_id
+    s.execute("DELETE FROM t WHERE a = 'y'")
+    s.execute("UPDATE t SET a = 'zz' WHERE a = 'z'")
+    return s.documents("t", [2, 3, last, 99]).select(F.col("_rid").alias("id"), "a")
+
+
 def vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session(spark, sf_dir, "part")
     s.execute("INSERT INTO p SELECT p_partkey, p_size FROM part WHERE p_size < 40")
@@ -166,6 +175,7 @@ SCRIPTS: dict[str, tuple[Query, str]] = {
     "json_documents": (documents('{"id": 1, "a": {"b": 2.0}}', then="SELECT id, a.b AS b, TYPEOF(a.b) AS k FROM t"), "select 1::bigint as id, 2::bigint as b, 'integer' as k"),
     "json_import": (imported, "select c_custkey, c_name as name, c_acctbal as bal from customer"),
     "dump_and_reload": (dumped, "select id::bigint as id, k::bigint as k, r_name, 5::bigint as n from (values (1, 5), (2, null), (3, 25)) t(id, k) left join region on id = r_regionkey"),
+    "record_ids": (by_record_id, "select * from (values (3::bigint, 'zz'), (4, 'w')) t(id, a)"),
     "vacuum": (vacuumed, "select p_partkey, p_size, (select count(*) from part where p_size = 11) as back, 1::bigint as same from part where p_size <> 11"),
     "listings": (listed, "select * from (values ('collection', 'region'), ('collection', 't'), ('view', 'v'), ('index', 't.a'), ('sequence', 'q')) t(kind, name)"),
     "http_answers": (asked, "select r_regionkey, r_name, 2::bigint as new, (select count(*) from region) + 2 as dumped from region where r_regionkey > 1"),

@@ -226,6 +226,13 @@ class Session:
             df = self.spark.read.option("multiLine", True).option("prefersDecimal", False).json(path)
             return Result(None, *dml.insert_select(self.catalog, table, df))
 
+    def documents(self, table: str, ids: list[int]) -> DataFrame:
+        """The documents with these record ids, which INSERT says and no other document ever gets; the ids themselves as `_rid`."""
+        self.known(table)
+        if self.catalog.state.collections[table].registered:
+            raise DialectError(f"{table} is a registered frame; its rows have no ids yet")
+        return self.catalog.frame(table).where(F.col(RID).isin(list(ids)))
+
     def begin(self) -> Transaction:
         self.catalog.writable()
         if self._transaction is not None:
