@@ -155,6 +155,24 @@ def bloom(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     return out.ravel()
 
 
+def parted(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df cut in two, in the JVM: rows whose key may be among `wanted` (key), a scratch table, with the key as `key_`, to join by; and those whose key certainly isn't.
+
+    A row's bit is looked up in a bitmap of 16 to 32 bits a wanted key, broadcast in pages of 4 KB: BLOOM_MOST bits or 32 MB at most. So only rows that
+    may meet need to be shuffled to meet. A bitmap that is too full lets more pass, and changes nothing.
+    """
+    bits = min(BLOOM_MOST, max(BLOOM_LEAST, 1 << (16 * wanted.count()).bit_length()))
+    place = F.col("key").bitwiseAND(bits - 1) + 1
+    pages = wanted.where("key is not null").select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits_"))
+    at = F.col("key_").bitwiseAND(bits - 1)
+    byte = F.conv(F.hex(F.substring("bits_", (F.shiftright(at.bitwiseAND(32767), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flagged = df.withColumn("key_", key).withColumn("page_", F.shiftright(at, 15) + 1).join(F.broadcast(pages), "page_", "left")
+    flagged = flagged.withColumn("may_", F.col("bits_").isNotNull() & (F.call_function("getbit", byte, at.bitwiseAND(7).cast("int")) == 1))
+    # A key that comes from the bitmap keeps Catalyst from moving a later semi or anti join below the look-up.
+    may = flagged.where("may_").withColumn("key_", F.when(F.col("may_"), F.col("key_")))
+    return may.drop("page_", "bits_", "may_"), flagged.where(~F.coalesce("may_", F.lit(False))).drop("key_", "page_", "bits_", "may_")
+
+
 def bloom_has(bloomed: np.ndarray, values: np.ndarray) -> np.ndarray:
     v, last, out = values.view(np.uint64), np.uint64(len(bloomed) * 8 - 1), True
     for at in (v & last, (v >> np.uint64(32)) & last):

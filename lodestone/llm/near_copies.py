@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, pick
+from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, parted, pick
 from lodestone.llm.components import connected_components
 from lodestone.llm.simhash import gray_rank, majority, near_pairs
 from lodestone.llm.words import blocks, both, mix, span_hash
@@ -230,10 +230,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     last.keep_only()
     cols = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(cols))])
-    place = lambda name: f"c{cols.index(name) if name in cols else [c.lower() for c in cols].index(name)}"
-    same = (flat[place("doc_id")] == F.col("gone")) & (F.xxhash64(flat[place("text")].cast("string")) == F.col("gone_key"))
-    out = flat.join(judged, same, "left_anti")
+    doc_id, text = (F.col(f"c{cols.index(name) if name in cols else [c.lower() for c in cols].index(name)}") for name in ("doc_id", "text"))
+    key = F.xxhash64(text.cast("string"))
+    judged = judged.withColumn("key", F.xxhash64("gone", "gone_key"))
+    may, stay = parted(flat, F.xxhash64(doc_id, key), judged)
+    same = (F.col("key_") == F.col("key")) & (doc_id == F.col("gone")) & (key == F.col("gone_key"))
+    out = stay.unionByName(may.join(judged, same, "left_anti").drop("key_"))
     twice = judged.where("not other")
     if not twice.isEmpty():
-        out = out.unionByName(flat.join(twice, same, "left_semi").dropDuplicates([place("doc_id"), place("text")]))
+        one = may.join(twice, same, "left_semi").drop("key_")
+        out = out.unionByName(one.dropDuplicates([f"c{i}" for i, c in enumerate(cols) if c.lower() in ("doc_id", "text")]))
     return out.toDF(*cols)

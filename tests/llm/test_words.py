@@ -4,7 +4,7 @@ import pytest
 import samples
 
 from lodestone.llm import words as w
-from lodestone.llm.common import bloom, bloom_has
+from lodestone.llm.common import bloom, bloom_has, parted
 
 
 def test_words_are_those_of_the_pattern():
@@ -80,3 +80,15 @@ def test_bloom_has_no_false_negatives(spark):
     f = bloom(spark.createDataFrame([(int(x),) for x in values[:2500]] + [(None,)], "h long"), "h", 1 << 20)
     assert bloom_has(f, values[:2500]).all() and bloom_has(f, values[2500:]).mean() < 0.05
     assert not bloom_has(bloom(spark.createDataFrame([], "h long"), "h"), values).any()
+
+
+def test_rows_are_parted_without_loss(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).selectExpr("id", "if(id % 7 = 0, null, 'x') as page_x")
+    wanted = spark.range(0, 20_000, 50).select(F.xxhash64("id").alias("key")).unionByName(spark.createDataFrame([(None,)], "key long"))
+    may, stay = parted(df, F.xxhash64("id"), wanted)
+    a, b = ({r.id for r in x.collect()} for x in (may, stay))
+    assert a | b == set(range(20_000)) and not a & b and set(range(0, 20_000, 50)) <= a and len(a) < 2000 and may.columns == [*df.columns, "key_"]
+    may, stay = parted(df, F.xxhash64("id"), wanted.limit(0))
+    assert may.count() == 0 and stay.count() == 20_000
