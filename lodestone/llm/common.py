@@ -116,6 +116,7 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordB
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return df.mapInArrow(run, schema)
 
