@@ -133,9 +133,15 @@ def upsert_batch(catalog: Catalog, table: str, rows: list[dict]) -> int | None:
 
 
 def touched(catalog: Catalog, table: str, hit: dict[int, set[str]]) -> DataFrame:
-    """The rows of the files that are hit."""
+    """The rows of the files that are hit. Those of a registered frame get ids below those of rows that were inserted, as they are about to be written."""
+    c = catalog.state.collections[table]
     where = " OR ".join(f"(`{PART}` = {k} AND `{FILE}` IN ({', '.join(v.text(x) for x in sorted(files))}))" for k, files in hit.items())
-    return catalog.frame(table, at=True).where(where).drop(PART, FILE)
+    df = catalog.frame(table, at=True).where(where).drop(PART, FILE)
+    if any(c.parts[k].frame is not None for k in hit):
+        c.next_id = catalog.first_free(table)
+        new = F.monotonically_increasing_id() - (1 << 62)
+        df = df.withColumn(RID, F.coalesce(RID, new) if RID in df.columns else new)
+    return df
 
 
 def hits(catalog: Catalog, table: str, condition: str, own: str) -> tuple[int, dict[int, set[str]]]:
@@ -154,7 +160,6 @@ def rewrite(catalog: Catalog, table: str, condition: Callable[[], str], sets: li
     count, hit = hits(catalog, table, condition(), own)
     if not count:
         return 0
-    numbered(catalog, table, hit)
     df = spark.sql(f"SELECT *, {condition()} AS `__hit` FROM {catalog.view(touched(catalog, table, hit))} AS {own}")
     for path, new in sets:
         view = catalog.view(df)
@@ -165,16 +170,6 @@ def rewrite(catalog: Catalog, table: str, condition: Callable[[], str], sets: li
     return count
 
 
-def numbered(catalog: Catalog, table: str, hit: dict[int, set[str]]) -> None:
-    """Before rows of a registered frame are written, all of them get ids."""
-    c = catalog.state.collections[table]
-    if any(c.parts[k].frame is not None for k in hit):
-        catalog.own(table)
-        for k in hit:
-            if "" in hit[k]:
-                hit[k] = {x for x in catalog._names(c.parts[k].path) if x.endswith(".parquet")}
-
-
 def put(df: DataFrame, path: tuple[str, ...], value: v.Value) -> DataFrame:
     """value at path in the rows that are hit; kinds that conflict become VARIANT."""
 
@@ -220,7 +215,6 @@ def delete(catalog: Catalog, compiler: Compiler, d: n.Delete) -> int:
     condition = lambda: compiler.predicate(d.where, scope, False) if d.where else "TRUE"
     count, hit = hits(catalog, d.table, condition(), own)
     if count:
-        numbered(catalog, d.table, hit)
         left = catalog.spark.sql(f"SELECT * FROM {catalog.view(touched(catalog, d.table, hit))} AS {own} WHERE NOT {condition()}")
         catalog.replace(d.table, hit, left, count)
     return count

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,13 +33,14 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Part:
-    """A folder of Parquet files without those that are `gone`, or a registered frame. rows: how many it has, where known."""
+    """A folder of Parquet files without those that are `gone`, or a registered frame. rows: how many it has, where known; last: its greatest id when it was written."""
 
     schema: T.StructType
     path: str = ""
     gone: tuple[str, ...] = ()
     rows: int | None = None
     frame: DataFrame | None = None
+    last: int | None = None
 
 
 @dataclass
@@ -164,7 +165,7 @@ class Catalog:
         self.version += 1
 
     def write(self, name: str, df: DataFrame) -> Part:
-        """A new part, its tasks sorted by the paths that are indexed, which get Bloom filters. Columns of nulls only aren't stored; they read as null all the same."""
+        """A new part, its tasks sorted by the paths that are indexed, which get Bloom filters. Columns of nulls only aren't stored; they read as null all the same. What it holds is counted as it is written."""
         stored = [f for f in df.schema if not isinstance(f.dataType, T.NullType)]
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         df = df.select(*[F.col(quoted(f.name)) for f in stored])
@@ -172,12 +173,12 @@ class Catalog:
         paths = [p for t, p in self.state.indexes if t == name and leaf(schema, p)]
         if paths:
             df = df.sortWithinPartitions(*[F.col(".".join(map(quoted, p.split(".")))) for p in paths])
-        writer = df.write
+        seen = Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(RID).alias("last")).write
         for p in paths:
             writer = writer.option(f"parquet.bloom.filter.enabled#{p}", "true")
         writer.parquet(path)
-        rows = self.spark.read.schema(schema).parquet(path).count()  # from the footers
-        return Part(schema, path, (), rows)
+        return Part(schema, path, (), seen.get["rows"], last=seen.get["last"])
 
     # Collections
 
@@ -268,15 +269,14 @@ class Catalog:
         c = self.state.collections.get(name) or Collection(T.StructType([T.StructField(RID, T.LongType())]))
         number = F.col(RID) if RID in df.columns else F.monotonically_increasing_id() + first
         part = self.write(name, df.withColumn(RID, number.cast("bigint")))
-        last = self.scan(part).agg(F.max(RID)).first()[0]
         nulls = [f for f in df.schema if isinstance(f.dataType, T.NullType)]
         known = c.schema if any(f.name == RID for f in c.schema) else T.StructType([T.StructField(RID, T.LongType()), *c.schema])
         c.schema = sch.settled(sch.merged_fields(known, T.StructType([*part.schema, *nulls])))
         c.parts = [*c.parts, part]
-        c.next_id = (last or first - 1) + 1
+        c.next_id = (part.last or first - 1) + 1
         self.state.collections[name] = c
         self.forget(name)
-        return part.rows, last
+        return part.rows, part.last
 
     def own(self, name: str) -> Collection:
         """The collection with registered frames written as parts of their own, each row with an id below those of rows that were inserted."""
