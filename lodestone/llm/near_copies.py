@@ -223,7 +223,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     roots = components(own.select(row_key(), "text"), facts, scratch, last)
     rows = facts.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
     rows = scratch.write(rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times")), "rows")
-    least = rows.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    least = scratch.write(rows.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least")), "least")  # written, so that the rows of a large group can be split in the join
     judged = rows.where("doc_id is not null").join(least, "root").withColumn("other", F.struct("doc_id", "text_key") != F.col("least")).where("other or times > 1")
     judged = scratch.write(judged.select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key"), "other"), "gone")
     scratch.keep_only("gone")
