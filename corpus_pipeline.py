@@ -1,7 +1,7 @@
 """A training corpus from raw documents: quality rules, near-dedup, decontamination, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns
-of documents.
+of documents. A stage's passes run when its result is written, so Arrow batches stay small in the session from then on.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontaminate, near_copies, quality, secrets
-from lodestone.llm.common import Scratch, table
+from lodestone.llm.common import Scratch, hold_small_batches, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged each for itself, so ties, repeated rows and null ids don't matter; very long texts are judged whole; other columns pass as
     they are, whatever their names; no rows: no rows.
     """
+    hold_small_batches(spark)
     return quality.good(docs)
 
 
@@ -27,6 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay, and connect others. Rows that repeat a doc_id are told apart by their text; of equal rows one stays. Texts
     without words are copies of one another. Very long texts are compared whole; other columns pass as they are; no rows: no rows.
     """
+    hold_small_batches(spark)
     return near_copies.deduplicated(spark, docs)
 
 
@@ -36,6 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts share none. Rows are told apart by their text, so repeated ids and null ids don't matter and equal texts
     share one fate. Very long texts are searched whole; other columns pass as they are; no rows: no rows; no items: all rows.
     """
+    hold_small_batches(spark)
     return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts stay null. Rows are scanned each for itself, so ties, repeated rows and null ids don't matter; very long texts are scanned
     whole; other columns pass as they are, whatever their names; no rows: no rows.
     """
+    hold_small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -54,6 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens. Rows are encoded each for itself, so ties, repeated rows and null ids don't matter; very long
     texts are encoded whole; other columns are left out; no rows: no rows.
     """
+    hold_small_batches(spark)
     return bpe.digests(docs, keep=True)
 
 

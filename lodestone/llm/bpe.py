@@ -59,7 +59,7 @@ def codec(name: str) -> tuple:
 class Ids(dict):
     """The ids of pre-tokens as little-endian unsigned 32-bit integers, remembered up to `most` characters."""
 
-    def __init__(self, name: str, most: int = 1 << 21):
+    def __init__(self, name: str, most: int = 1 << 20):
         self.tokenizer, self.most, self.held = codec(name)[0], most, 0
 
     def of(self, pieces: list[str]) -> np.ndarray:

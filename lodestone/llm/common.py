@@ -70,6 +70,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def hold_small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB from here on in this session, for passes that run after their caller has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors. What results still read stays until `release` or the program's end."""
 

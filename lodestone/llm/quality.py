@@ -138,9 +138,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep."""
-    rows = packed(docs)
-    both = rows.select(F.struct("row", "text").alias("row"), "text")
-    return unpacked(with_measures(both).where(KEPT).select("row.row"), docs.columns)
+    return unpacked(with_measures(packed(docs)).where(KEPT).select("row"), docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
