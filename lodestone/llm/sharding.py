@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.common import Scratch, let, pick, table
+from lodestone.plans.values import text
 
 #: Rows of a sorted run of slots.
 RUN = 1 << 21
@@ -73,8 +74,8 @@ DEPTH = 3
 
 def descend(key: Column, to: Tree) -> Column:
     """struct(region, rack, shard) of the leaf that the descent ends at. A null key is as an empty one. u is of the first 52 bits of an MD5 hash."""
-    child = lambda name, weight, leads: F.struct(F.lit(name).alias("name"), F.lit(float(weight)).alias("weight"), F.lit(leads).alias("to"))
-    children = F.create_map(*[x for node, each in to.children().items() for x in (F.lit(node), F.array(*[child(*c) for c in each]))])
+    child = lambda name, weight, leads: f"named_struct('name', {text(name)}, 'weight', {float(weight)!r}D, 'to', {text(leads)})"
+    children = F.expr(f"map({', '.join(f'{text(node)}, array({", ".join(child(*c) for c in each)})' for node, each in to.children().items())})")
 
     def step(own: Column, at: Column) -> Column:
         below = F.try_element_at(children, at)
