@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, arrow_pass, bloom, bloom_has, list_array, parted, pick
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import contracted
 from lodestone.llm.simhash import gray_rank, majority, near_pairs
 from lodestone.llm.words import blocks, both, mix, span_hash
 
@@ -200,7 +200,7 @@ def components(texts: DataFrame, facts: DataFrame, scratch: Scratch, last: Scrat
         new = scratch.write(found.distinct(), f"links{k}")
         scratch.drop(f"members{k}")
         links = new if links is None else links.unionByName(new)
-        roots = connected_components(links, last)
+        roots = contracted(links, last)
         if hi < ROUNDS[-1]:
             roots = scratch.write(roots, f"roots{k}")
             last.keep_only()

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import Scratch, arrow_pass, pick, spread, table, with_row
-from lodestone.llm.components import connected_components
+from lodestone.llm.components import contracted
 from lodestone.llm.words import blocks
 
 DIFFERING, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints that one task compares under one key; a larger group is dealt out as pairs of parts.
 GROUP = 2048
 FANOUT = 16
+#: Fingerprints, each under one key, that a task of the search gets at the mean.
+RUN = 1 << 21
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -186,7 +188,7 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
         F.explode(F.expr("if(parts is null, array(key), transform(sequence(0, parts - 1), j -> xxhash64(key, least(own, j), greatest(own, j))))")).alias("key"),
     )
     # Many groups share a task's batch; a group is never cut, as the rows of a key go to one partition, sorted by it.
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), keyed.count() // RUN)
     dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
     found = dealt.mapInPandas(whole_groups, "u bigint, v bigint")
     return scratch.write(found.distinct(), "links")
@@ -212,7 +214,7 @@ def classes(spark: SparkSession, ids: DataFrame) -> DataFrame:
     """ids (doc_id, fp) -> (fp, component_id), a row for each distinct fingerprint."""
     scratch = Scratch(spark, "simhash")
     least = scratch.write(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    roots = connected_components(links(least.select("fp"), scratch), scratch)
+    roots = contracted(links(least.select("fp"), scratch), scratch)
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     out = scratch.write(rooted.join(of_root, "root").select("fp", "component_id"), "classes")

@@ -5,6 +5,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone.llm import components
 from lodestone.llm import simhash as sh
 from lodestone.llm.common import Scratch
 from lodestone.llm.components import connected_components
@@ -125,3 +126,23 @@ def test_components(spark, edges):
 def test_long_chain(spark):
     found = connected_components(spark.range(300).selectExpr("id as u", "id + 1 as v"), Scratch(spark, "test")).collect()
     assert len(found) == 301 and {r.root for r in found} == {0}
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds, plain = [], components.forest
+    monkeypatch.setattr(components, "forest", lambda live, scratch, k: rounds.append(k) or plain(live, scratch, k))
+    chain, star = [(i, i + 1) for i in range(300)], [(1000, 1001 + i) for i in range(300)]
+    back, ring = [(3000 - i, 2999 - i) for i in range(300)], [(4000 + i, 4000 + (i + 1) % 300) for i in range(300)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(chain + star + back + ring, "u long, v long"), Scratch(spark, "test")).collect()}
+    assert found == {n: low for low, n in [*((0, i) for i in range(301)), *((1000, 1000 + i) for i in range(301)), *((2700, 2700 + i) for i in range(301)), *((4000, 4000 + i) for i in range(300))]}
+    assert len(rounds) <= 9  # 1202 nodes, halved at least in each
+
+
+def test_forest(spark):
+    rnd = np.random.RandomState(5)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rnd.randint(0, 400, (700, 2)).tolist() if a != b})
+    for k in range(2):
+        found = {r.node: r.parent for r in components.forest(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"), k).collect()}
+        assert set(found) == {x for e in edges for x in e}
+        assert all(found[p] == p for p in found.values())
+        assert 2 * len(set(found.values())) <= len(found)
