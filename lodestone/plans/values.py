@@ -52,7 +52,8 @@ def quoted(name: str) -> str:
 
 
 def text(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A string literal. Spark puts variables in for ${...} before it parses, in literals too, so no such thing may stand there."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{") + "'"
 
 
 def literal(v: object) -> Value:

@@ -178,3 +178,11 @@ def test_unions(s):
     assert s.execute("SELECT id FROM t UNION SELECT id FROM t").df.count() == 3
     wide = s.execute("SELECT id FROM t WHERE id = 1 UNION ALL SELECT id, w FROM k WHERE w = 'one'").df
     assert wide.columns == ["id", "w"]
+
+
+def test_literals_that_look_like_variables(spark):
+    s = Session(spark)
+    s.execute('INSERT INTO t VALUES (a="${x} b", n=1), (a=" b", n=2), (a="$x", n=3)')
+    said = lambda where: sorted(r.n for r in s.query(f"SELECT n FROM t WHERE {where}").collect())
+    assert [said(w) for w in ('a = "${x} b"', 'a IN ("${x} b", "$x")', 'a LIKE "%{x} b"', 'a LIKE "${X}%"', 'a = " b"')] == [[1], [1, 3], [1], [1], [2]]
+    assert s.query('SELECT CONCAT("${env:HOME}", "-") AS c FROM t LIMIT 1').first().c == "${env:HOME}-"
