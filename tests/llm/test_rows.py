@@ -245,6 +245,16 @@ def test_a_large_tree_is_one_small_expression(spark):
     assert len({r.s for r in found}) > 500
 
 
+def test_names_and_weights_of_any_kind(spark):
+    from pyspark.sql import functions as F
+
+    shards = tuple(sharding.Shard(r, k, i, w) for i, (r, k, w) in enumerate([("o'hare", "a\\b", 1e-5), ("o'hare", '"c"', 2e-5), ("${x}", "é\n%", 1e-5)]))
+    rows = spark.range(300).select("id", sharding.descend(F.col("id"), sharding.Tree(shards)).alias("to")).collect()
+    assert [(r.to.region, r.to.rack, r.to.shard) for r in rows] == [next((s.region, s.rack, s.shard) for s in shards if s.shard == plain_shard(r.id, shards)) for r in rows]
+    big = sharding.Tree(tuple(sharding.Shard("r", "k", i, w) for i, w in enumerate((1e16, 1e-7))))
+    assert {r[0] for r in spark.range(50).select(sharding.descend(F.col("id"), big)["shard"]).collect()} == {0}
+
+
 def test_writes_shards(spark, tmp_path):
     docs = spark.range(500).selectExpr("id as doc_id", "'t' as text")
     sharding.write_shards(spark, docs, str(tmp_path / "s"), sharding.tree(24))
